@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.words import with_gram_hashes, with_winnowed, word_array
+from quillgraph.llm.words import salted, with_gram_hashes, with_winnowed, word_array
 
 #: Fingerprint that every document has, so that those without hits stay in the result.
 SENTINEL = 1
@@ -24,7 +24,7 @@ def _hashed(df: DataFrame) -> DataFrame:
 
 def _short_hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
     for n in lengths:
-        df = with_gram_hashes(df, f"_g{n}", "_h", n).withColumn(f"_g{n}", F.transform(f"_g{n}", lambda x, n=n: F.xxhash64(x, F.lit(n))))
+        df = with_gram_hashes(df, f"_g{n}", "_h", n).withColumn(f"_g{n}", salted(f"_g{n}", n))
     return df
 
 

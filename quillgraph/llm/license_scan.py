@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm.words import with_gram_hashes, word_array
+from quillgraph.llm.words import salted, with_gram_hashes, word_array
 
 # Phrases that must stand word for word, and their labels.
 PHRASES = {
@@ -64,7 +64,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     own = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(F.col(doc_col), *(F.col(c) for c in keep if c != doc_col)).alias("_keep"), word_array(F.col(text_col)).alias("_w"))
     own = own.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
     for n in sizes:
-        own = with_gram_hashes(own, f"_f{n}", "_h", n).withColumn(f"_f{n}", F.transform(f"_f{n}", lambda x, n=n: F.xxhash64(x, F.lit(n))))
+        own = with_gram_hashes(own, f"_f{n}", "_h", n).withColumn(f"_f{n}", salted(f"_f{n}", n))
     starts = [sum((F.size(f"_f{m}") for m in sizes[:i]), F.lit(0)) for i in range(len(sizes))]
     own = own.select("_row", "_keep", "_w", F.create_map(*(x for n, s in zip(sizes, starts) for x in (F.lit(n), s))).alias("_starts"), F.concat(*(f"_f{n}" for n in sizes), F.array(F.lit(0).cast("long"))).alias("_fps"))
     votes = own.select("_row", "_keep", "_w", "_starts", F.posexplode_outer("_fps").alias("_at", "fp")).join(F.broadcast(index), "fp")

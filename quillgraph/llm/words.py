@@ -57,3 +57,8 @@ def with_winnowed(df: DataFrame, name: str, grams: str, width: int) -> DataFrame
     df = df.withColumn(name, F.concat(edge, F.col(name), edge))
     df = _doubled(df, name, name, width, lambda x, y: F.greatest(x, y))
     return df.withColumn(name, F.zip_with(grams, name, lambda x, y: F.when(x == y, x)))
+
+
+def salted(grams: str, n: int) -> Column:
+    """The hashes of `grams` made different from those of grams of another length n."""
+    return F.transform(grams, lambda x: F.xxhash64(x, F.lit(n)))
