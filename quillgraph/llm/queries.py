@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, license_scan, mixing
+from quillgraph.llm import decontaminate, langid, license_scan, mixing, neighbours, pii, token_count, warc
+from quillgraph.llm.store import fresh_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +20,38 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.learn(docs))
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+#: Vocabulary of the query; its place is a parameter of the operator.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return token_count.token_counts(_table(spark, sf_dir, "documents"), token_count.read_vocabulary(vocabulary))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(_table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"), revisit_bytes=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_by_document(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan.scan(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
@@ -71,7 +100,7 @@ FROM d LEFT JOIN g USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op7_mix_sources, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_language_id, op4_token_counts, op5_nearest, op6_warc, op7_mix_sources, op9_pii, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
