@@ -94,7 +94,9 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = 13, k: int = 8
     hits = hits.select("_row", "_keep", "_n", "slot", "glen", "need", "items", "_p", left.alias("_l"), right.alias("_r"), same.alias("_same"))
     found = (F.col("slot") >= 0) & F.col("_same") & (F.col("_l") + F.col("glen") + F.col("_r") >= F.col("need"))
     span = F.when(found, F.struct((F.col("_p") - F.col("_l")).cast("long").alias("a"), (F.col("_p") + F.col("glen") + F.col("_r")).cast("long").alias("b")))
-    hits = hits.where(found | (F.col("slot") < 0)).select("_row", "_keep", "_n", span.alias("_s"), F.when(found, F.col("items")).alias("_items"))
+    # No filter on `found`: it would become a condition of the join, which has no generated code for it, and each exploded
+    # row would be copied with all words of its document.
+    hits = hits.select("_row", "_keep", "_n", span.alias("_s"), F.when(found, F.col("items")).alias("_items"))
     out = hits.groupBy("_row").agg(F.first("_keep", ignorenulls=True).alias("_keep"), F.max("_n").cast("long").alias("n_words"), F.array_sort(F.collect_set("_s")).alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("items"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     n_hit = F.aggregate("_s", zero, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), s["b"] - F.greatest(a["end"], s["a"]))).alias("n"), F.greatest(a["end"], s["b"]).alias("end")), lambda a: a["n"])
