@@ -66,12 +66,13 @@ def _norm(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _hashed(df: DataFrame, index: PStable, id_col: str, probing: bool, copies: int) -> DataFrame:
+def _hashed(df: DataFrame, index: PStable, id_col: str, probing: bool) -> DataFrame:
     """(table, bucket, id, v): a row for each bucket that a vector lies in or, for queries, visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+            step = 64 if probing else 2048  # a query weighs 3 ** functions moves in every table
+            for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
                 x = _matrix(part.column("v"))
                 keys = index.probe(x / _norm(x)) if probing else index.buckets(x / _norm(x))[:, :, None]
                 per = keys.shape[1] * keys.shape[2]
@@ -122,7 +123,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 12, functions: int = 4, width: float = 2.0, probes: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 8, functions: int = 6, width: float = 2.0, probes: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest that are found of each row for which is_query holds, by largest
     cosine, among all rows but its own.
 
@@ -169,7 +170,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 12, f
         left, right = dealt(left, "sheet", sheets, "block", blocks), dealt(right, "block", blocks, "sheet", sheets)
         return left.withColumn("block", F.col("block").cast("long")).groupBy(*by).cogroup(right.withColumn("sheet", F.col("sheet").cast("long")).groupBy(*by)).applyInArrow(meet, scored)
 
-    found = met(_hashed(queries, index, "g", True, blocks), _hashed(groups, index, "id", False, sheets))
+    found = met(_hashed(queries, index, "g", True), _hashed(groups, index, "id", False))
     found = cut_lineage(found.distinct())
     # Few found: the query's own group and at least k others are wanted, or all there are.
     enough = found.groupBy("q").count().where(F.col("count") >= min(best, rows))

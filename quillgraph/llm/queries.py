@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, langid, license_scan, mixing, neighbours, pii, token_count, warc
+from quillgraph.llm import decontaminate, langid, license_scan, mixing, near_dup, neighbours, pii, token_count, warc
 from quillgraph.llm.store import fresh_dir
 
 
@@ -47,6 +47,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_by_document(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), similarity=0.8)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -100,7 +104,7 @@ FROM d LEFT JOIN g USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_language_id, op4_token_counts, op5_nearest, op6_warc, op7_mix_sources, op9_pii, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_language_id, op4_token_counts, op5_nearest, op6_warc, op7_mix_sources, op8_near_duplicates, op9_pii, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
