@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, langid, license_scan, mixing, near_dup, neighbours, pii, token_count, warc
+from quillgraph.llm import decontaminate, langid, license_scan, mixing, near_dup, neighbours, pii, substring_dedup, token_count, warc
 from quillgraph.llm.store import fresh_dir
 
 
@@ -20,6 +20,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed_passages(_table(spark, sf_dir, "documents"), window=50)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = langid.predict(docs, langid.learn(docs))
@@ -104,7 +108,7 @@ FROM d LEFT JOIN g USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_language_id, op4_token_counts, op5_nearest, op6_warc, op7_mix_sources, op8_near_duplicates, op9_pii, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_language_id, op4_token_counts, op5_nearest, op6_warc, op7_mix_sources, op8_near_duplicates, op9_pii, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
