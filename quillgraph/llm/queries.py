@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillgraph.llm import decontaminate, langid, license_scan, mixing, near_dup, neighbours, pii, substring_dedup, token_count, warc
 from quillgraph.llm.store import fresh_dir
 
@@ -108,7 +109,7 @@ FROM d LEFT JOIN g USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_language_id, op4_token_counts, op5_nearest, op6_warc, op7_mix_sources, op8_near_duplicates, op9_pii, op10_license_scan)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_language_id, op4_token_counts, op5_nearest, op6_warc, op7_mix_sources, op8_near_duplicates, op9_pii, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

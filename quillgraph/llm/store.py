@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,3 +49,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Ids up to this number (some MB) are broadcast to leave out rows; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without_ids(df: DataFrame, ids: DataFrame, column: str, limit: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of df whose `column` is not among `ids`; null is never among them."""
+    ids = cut_lineage(ids.select(F.col(ids.columns[0]).alias("_gone")).distinct())
+    small = ids.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(ids) if small else ids, df[column] == F.col("_gone"), "left_anti")
