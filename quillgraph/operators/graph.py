@@ -23,7 +23,7 @@ def next_edges(rows: DataFrame, group: str, order: str, id_col: str) -> DataFram
 def first_appearance(rows: DataFrame, group: str, key: str, order: str) -> DataFrame:
     """(group, key, sequence_index): keys of a group numbered from 0 as they first come."""
     first = rows.groupBy(group, key).agg(F.min(order).alias("_first"))
-    return first.withColumn("sequence_index", F.row_number().over(Window.partitionBy(group).orderBy("_first", key)) - 1)
+    return first.withColumn("sequence_index", F.row_number().over(Window.partitionBy(group).orderBy("_first", key)) - 1).drop("_first")
 
 
 def ordered_distinct(lists: Column) -> Column:
