@@ -237,7 +237,7 @@ def find(docs: DataFrame, floor: float = 0.5, doc_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     own = docs.select(F.struct(F.col(doc_col), *(F.col(c) for c in keep if c != doc_col)).alias("_keep"), F.col(text_col).alias("_text"))
-    added = {**{f"n_{k}": F.lit(0).cast("long") for k in BASE}, "base": F.lit(""), "spans": F.lit("")} | ({"redacted": F.lit("")} if redact else {})
+    added = {**{f"n_{k}": F.lit(0).cast("long") for k in BASE}, "base": F.lit(""), "spans": F.lit("")} | ({"redacted": F.lit(None).cast("string")} if redact else {})
     schema = own.select("_keep").withColumns(added).schema
     return own.mapInArrow(run, schema).select("_keep.*", *added)
 
