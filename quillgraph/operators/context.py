@@ -16,15 +16,6 @@ def paragraph_budget(max_tokens: int) -> int:
     return max_tokens - max(LEAST_RESERVED, int(max_tokens * RESERVED))
 
 
-def pack_lines(lines: DataFrame, budget: int, order: list, tokens: str = "tokens") -> DataFrame:
-    """Lines in order up to the first that would overflow the budget, with citation_key and used (running tokens).
-
-    The lines are those of one answer, some hundreds at most, so one ordered window over all is what is wanted."""
-    w = Window.orderBy(*order)
-    out = lines.withColumn("citation_key", F.row_number().over(w)).withColumn("used", F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.where(F.col("used") <= budget)
-
-
 def assemble(ranked: DataFrame, relationships: DataFrame, max_tokens: int, order_col: str = "ord") -> DataFrame:
     """(part, position, line, tokens, truncated): the lines of the context, paragraphs first, then relationships.
 

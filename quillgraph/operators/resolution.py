@@ -10,18 +10,13 @@ from pyspark.sql.window import Window
 
 from quillgraph.functions.text import entity_embedding_text, normalize_entity_name
 from quillgraph.operators.graph import ordered_distinct
-from quillgraph.operators.retrieval import similar_pairs
+from quillgraph.operators.retrieval import blocked_pairs, similar_pairs
 
 SIMILARITY, CANDIDATES = 0.92, 5
 #: Types that merging only harms.
 SKIP_TYPES = ("Date", "Metric")
 
 
-def canonical_order() -> list[Column]:
-    """The row that a group is merged into comes first: most mentions, seen earliest, smallest id."""
-    return [F.desc("mention_count"), F.asc("first_seen"), F.asc("id")]
-
-
 def in_document(entities: DataFrame, mentions: DataFrame, document_id: str) -> DataFrame:
     """Entities mentioned in one document."""
     own = mentions.where(F.col("document_id") == document_id)
@@ -35,10 +30,11 @@ def exact_merges(entities: DataFrame, skip_types: tuple[str, ...] = SKIP_TYPES)
     return own.join(best, ["normalized_name", "type"]).where("id <> canonical_id").select(F.col("id").alias("merged_id"), "canonical_id")
 
 
-def candidate_pairs(entities: DataFrame, threshold: float = SIMILARITY, k: int = CANDIDATES, skip_types: tuple[str, ...] = SKIP_TYPES) -> DataFrame:
-    """(a, b, score): pairs of one type at `threshold` or more on the index scale, at most the k best of each row."""
+def candidate_pairs(entities: DataFrame, threshold: float = SIMILARITY, k: int = CANDIDATES, skip_types: tuple[str, ...] = SKIP_TYPES, blocked_dims: int | None = None) -> DataFrame:
+    """(a, b, score): pairs of one type at `threshold` or more on the index scale, at most the k best of each row. All pairs
+    of a type are compared, or, for large ones, those in a common block of vectors with blocked_dims dimensions."""
     own = entities.where(~F.col("type").isin(*skip_types) & F.col("embedding").isNotNull())
-    pairs = similar_pairs(own, threshold)
+    pairs = blocked_pairs(own, threshold, blocked_dims) if blocked_dims else similar_pairs(own, threshold)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     best = both.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("_n") <= k)
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct()

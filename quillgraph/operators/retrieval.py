@@ -5,13 +5,14 @@ Anchors are small by contract (at most 100) and are broadcast only where a limit
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.functions.vector import cosine, index_score, literal
+from quillgraph.functions.vector import cosine, dot, index_score, literal
 
 #: Score of rows that come from the graph and not from the index.
 EXPANSION_SCORE = 0.4
@@ -65,6 +66,23 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", type
     return pairs.where(F.col("score") >= threshold)
 
 
+def blocked_pairs(vectors: DataFrame, threshold: float, dims: int, tables: int = 12, bits: int = 6, seed: int = 7, id_col: str = "id", type_col: str = "type", vector_col: str = "embedding", normalized: bool = True) -> DataFrame:
+    """similar_pairs among rows that share the signs of `bits` random projections in one of `tables` tables: work grows with
+    the size of these blocks and not with the square of a type. It finds a pair at angle a with probability
+    1 - (1 - (1 - a / pi) ** bits) ** tables, and nothing that isn't a pair."""
+    rng = random.Random(seed)
+    planes = [[[rng.gauss(0, 1) for _ in range(dims)] for _ in range(bits)] for _ in range(tables)]
+    side = lambda plane: F.when(dot(F.col(vector_col), literal(plane)) >= 0, "1").otherwise("0")
+    signs = F.array(*(F.concat(F.lit(f"{n}:"), *map(side, table)) for n, table in enumerate(planes)))
+    own = vectors.select(F.col(id_col).alias("a"), F.col(type_col).alias("t"), F.explode(signs).alias("block"))
+    other = own.select(F.col("a").alias("b"), "t", "block")
+    near = own.join(other, ["t", "block"]).where("a < b").select("a", "b").distinct()
+    v = vectors.select(F.col(id_col).alias("_i"), F.col(vector_col).alias("_v"))
+    near = near.join(v, F.col("a") == F.col("_i")).select("a", "b", F.col("_v").alias("va")).join(v, F.col("b") == F.col("_i")).select("a", "b", "va", F.col("_v").alias("vb"))
+    cos = cosine(F.col("va"), F.col("vb"))
+    return near.select("a", "b", (index_score(cos) if normalized else cos).alias("score")).where(F.col("score") >= threshold)
+
+
 def layout_expand(anchors: DataFrame, paragraphs: DataFrame, window: int, doc_col: str = "document_id", seq_col: str = "sequence_index") -> DataFrame:
     """Paragraphs at most `window` places from an anchor of the same document, the anchor itself too, each once. The band
     becomes an equi-join by listing the places around each anchor."""

@@ -167,3 +167,15 @@ def test_filters_tables_ledger_and_scores(spark):
     have = spark.createDataFrame([("ACME",)], "name string")
     assert evaluation.entity_recall(spark.createDataFrame([("acme",), ("x",)], "name string"), have).first()["recall"] == 0.5
     assert filters.find_nodes(spark.createDataFrame([("1", ["A"], 5), ("2", ["B"], 5)], "id string, labels array<string>, v int"), ["A"], {"v": 5}).count() == 1
+
+
+def test_blocks_find_most_similar_pairs(spark):
+    import random
+
+    r = random.Random(0)
+    base = [[r.gauss(0, 1) for _ in range(8)] for _ in range(40)]
+    rows = [(f"{i}{c}", "t", [x + r.gauss(0, 0.15) for x in v]) for i, v in enumerate(base) for c in "ab"]
+    df = spark.createDataFrame(rows, "id string, type string, embedding array<double>")
+    pairs = lambda d: {(x["a"], x["b"]) for x in d.collect()}
+    want, found = pairs(retrieval.similar_pairs(df, 0.92)), pairs(retrieval.blocked_pairs(df, 0.92, 8))
+    assert found <= want and len(found) >= 0.9 * len(want) >= 30
