@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from quillgraph.llm.store import cut_lineage
 
-#: Runs of a source's shuffled order, and slices of virtual time, that are summed apart.
-RUNS = 4096
+#: Hexadecimal digits of the hash that name a run of a source's shuffled order; runs are summed apart. 3 make 4096 runs.
+RUN_DIGITS = 3
 
 
 def text_size(text: Column) -> Column:
@@ -37,12 +37,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return table.select("_source", "source_size", F.least("_cap", F.coalesce(F.col("_level") * F.col("_wt"), F.col("_cap"))).alias("target"))
 
 
-def _placed(docs: DataFrame, weights, share, most, seed, doc_col, text_col, source_col, keep, runs) -> DataFrame:
+def _placed(docs: DataFrame, weights, share, most, seed, doc_col, text_col, source_col, keep, run_digits) -> DataFrame:
     """Per document: its kept columns, size, source_size, target, and _end, the running size of its source up to it."""
-    h = F.xxhash64(F.lit(seed), F.col(doc_col).cast("string"), F.col(text_col))
+    h = F.md5(F.concat_ws("\x01", F.lit(str(seed)), F.col(doc_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))))
     own = docs.select(F.struct(F.col(doc_col), *(F.col(c) for c in keep if c != doc_col)).alias("_keep"), F.col(source_col).alias("_source"), text_size(F.col(text_col)).alias("size"), h.alias("_h"))
-    own = cut_lineage(own.withColumn("_run", F.pmod("_h", F.lit(runs)).cast("int")))
-    # The table of runs has at most `runs` rows per source; the null source joins by <=>.
+    own = cut_lineage(own.withColumn("_run", F.substring("_h", 1, run_digits)))
+    # The table of runs has at most 16 ** run_digits rows per source; the null source joins by <=>.
     totals = own.groupBy("_source", "_run").agg(F.sum("size").alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy("_source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = totals.withColumn("_before", before)
@@ -60,20 +60,20 @@ def _served(copy) -> Column:
     return (F.least(end, goal) - F.least(end - F.col("size"), goal)).cast("long")
 
 
-def queue(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, doc_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), runs: int = RUNS) -> DataFrame:
+def queue(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, doc_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), run_digits: int = RUN_DIGITS) -> DataFrame:
     """One row per document and copy: doc_col, those in keep, size, source_size, target, copy, start, finish, taken.
 
     Each source's documents stand in an order drawn by hash, `most` times over. finish is the virtual time at which a
     copy has been served: its source's running size divided by the source's target; start, when its service begins.
     Sources are served in step, so the budget, the sum of all targets, is used up at time 1, which splits at most one
-    copy per source: taken is the number of its words served by then. Running sums are made in `runs` slices of the
-    hashed order and put together by the slices' totals, so no source is sorted in one task.
+    copy per source: taken is the number of its words served by then. Running sums are made in 16 ** run_digits runs of
+    the hashed order and put together by the slices' totals, so no source is sorted in one task.
 
     Null texts and those without words have size 0 and are never taken; null sources are one source, the last; repeated
     rows count each, in any order, their sizes being equal; an empty table gives an empty result; columns not named are
     ignored. Reruns agree: the order depends on doc_id and text alone.
     """
-    own = _placed(docs, weights, share, most, seed, doc_col, text_col, source_col, keep, runs)
+    own = _placed(docs, weights, share, most, seed, doc_col, text_col, source_col, keep, run_digits)
     own = own.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     end = F.col("_end") + F.col("copy") * F.col("source_size")
     time = lambda x: F.when(F.col("target") > 0, x / F.col("target"))
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return served.repartitionByRange("finish").sortWithinPartitions("finish")
 
 
-def taken_by_document(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, doc_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), runs: int = RUNS) -> DataFrame:
+def taken_by_document(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, doc_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), run_digits: int = RUN_DIGITS) -> DataFrame:
     """Per document: doc_col, those in keep, size, source_size, target, and taken summed over the copies of queue()."""
-    own = _placed(docs, weights, share, most, seed, doc_col, text_col, source_col, keep, runs)
+    own = _placed(docs, weights, share, most, seed, doc_col, text_col, source_col, keep, run_digits)
     return own.select("_keep.*", "size", "source_size", "target", sum((_served(F.lit(c)) for c in range(1, most)), _served(F.lit(0))).alias("taken"))

@@ -87,6 +87,41 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+_SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_OP2_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_SPACED} AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i, len(w) AS n FROM d),
+g AS (SELECT doc_id, i, md5(array_to_string(list(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING), ' ')) AS g, n FROM x),
+f AS (SELECT g, min(doc_id) AS first FROM g WHERE i + 50 <= n GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 50)) AS i FROM g JOIN f USING (g) WHERE g.i + 50 <= g.n AND f.first < g.doc_id),
+k AS (SELECT x.doc_id, count(gone.i) AS n_removed, string_agg(CASE WHEN gone.i IS NULL THEN x.x END, ' ' ORDER BY x.i) AS kept FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+_OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, array_to_string(list_transform(string_split(h, ''), lambda x: substring('0000000100100011010001010110011110001001101010111100110111101111', CAST(4 * (strpos('0123456789abcdef', x) - 1) + 1 AS BIGINT), 4)), '') AS bits FROM p),
+f AS (SELECT h, max(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT) + 4 * CAST(bits[5 * i + 3] AS INT) + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b JOIN f USING (h)
+"""
+
+_OP7_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({_SPACED}) AS BIGINT) AS size, md5(concat_ws(chr(1), '17', CAST(doc_id AS VARCHAR), coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS wt FROM s),
+c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / wt AS full_ FROM w),
+o AS (SELECT *, coalesce(sum(cap) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps, sum(wt) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_, sum(source_size) OVER () * 1.5::DOUBLE AS all_, row_number() OVER q AS n FROM c WINDOW q AS (ORDER BY full_, source NULLS LAST)),
+l AS (SELECT arg_min((all_ - caps) / left_, n) AS level FROM o WHERE full_ >= (all_ - caps) / left_),
+t AS (SELECT source, source_size, least(cap, coalesce(level * wt, cap)) AS target FROM o CROSS JOIN l),
+e AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(least(end_, floor(target)) - least(end_ - size, floor(target)) + least(end_ + source_size, floor(target)) - least(end_ + source_size - size, floor(target)) AS BIGINT) AS taken FROM e
+"""
+
+
 def _op10_sql() -> str:
     grams = ", ".join(f"({t}, '{' '.join(w[p : p + k])}', {p}, {k}, {len(w) - k + 1}, '{label}', {str(exact).lower()})" for t, w, label, k, exact in license_scan.templates(license_scan.PHRASES, license_scan.NOTICES, license_scan.MAX_GRAM) for p in range(len(w) - k + 1))
     return f"""
@@ -113,4 +148,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": _OP1_SQL, "op10_license_scan": _op10_sql()}
+    return {"op1_decontaminate": _OP1_SQL, "op2_substring_dedup": _OP2_SQL, "op6_warc": _OP6_SQL, "op7_mix_sources": _OP7_SQL, "op10_license_scan": _op10_sql()}

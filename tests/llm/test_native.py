@@ -112,7 +112,7 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
 def test_mixing_reaches_the_targets(spark):
     rows = [(i, "w " * (1 + i * 37 % 50), ["a", "b", "é", "Z", None][i * i % 5 if i % 3 else 0], i) for i in range(400)] + [(7, None, "b", 1), (8, "", "empty", 1), (9, "x", "a", 2), (9, "x", "a", 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, target int")
-    got = mixing.taken_by_document(df, keep=("source",), runs=16).collect()
+    got = mixing.taken_by_document(df, keep=("source",), run_digits=1).collect()
     assert len(got) == len(rows)
     sizes = Counter()
     for _, text, source, _ in rows:
@@ -123,7 +123,7 @@ def test_mixing_reaches_the_targets(spark):
         assert 0 <= r["taken"] <= 2 * r["size"]
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
-    again = mixing.taken_by_document(df.repartition(3), keep=("source",), runs=16).collect()
+    again = mixing.taken_by_document(df.repartition(3), keep=("source",), run_digits=1).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
 
 

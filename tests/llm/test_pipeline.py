@@ -1,12 +1,11 @@
 """The pipeline's stages against brute force on a small corpus, and the registration of all queries."""
 
 import random
-import zlib
 
 import pytest
 
 import corpus_pipeline as pipeline
-from quillgraph.llm import mixing, pii, queries
+from quillgraph.llm import pii, queries
 
 POOLS = {"en": "the of and to in is that was he for it with as his on be at by".split(), "de": "der die und nicht ein zu mit von auf für ist im dem sich des".split()}
 
@@ -70,4 +69,3 @@ def test_every_operator_is_registered():
     names = list(queries.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(names)
-    assert zlib.crc32(b"0") and mixing.RUNS
