@@ -41,7 +41,7 @@ def benchmark_index(bench: DataFrame, window: int, k: int, item_col: str, text_c
     short = _hashed(items.where(F.size("_w") < window))
     for slot, n in enumerate(lengths, 1):
         own = _short_hashes(short.where(F.size("_w") == n), [n])
-        rows = rows.unionByName(own.select(F.element_at(f"_g{n}", 1).alias("fp"), F.lit(slot).alias("slot"), F.lit(n).alias("glen"), F.lit(n).alias("need"), F.lit(0).alias("lead"), F.col("_w").alias("ctx"), "_item"))
+        rows = rows.unionByName(own.select(F.get(f"_g{n}", F.lit(0)).alias("fp"), F.lit(slot).alias("slot"), F.lit(n).alias("glen"), F.lit(n).alias("need"), F.lit(0).alias("lead"), F.col("_w").alias("ctx"), "_item"))
     return rows.groupBy("fp", "slot", "glen", "need", "lead", "ctx").agg(F.array_sort(F.collect_set("_item")).alias("items")), lengths
 
 

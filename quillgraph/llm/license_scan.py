@@ -55,7 +55,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     rows = [(t, w[p : p + n], p, n, len(w) - n + 1, label, exact) for t, w, label, n, exact in known for p in range(len(w) - n + 1)]
     index = spark.createDataFrame(rows, "tid int, gram array<string>, tpos int, k int, grams int, label string, exact boolean")
     index = index.withColumn("_h", F.transform("gram", lambda x: F.xxhash64(x)))
-    parts = [with_gram_hashes(index.where(F.col("k") == n), "_f", "_h", n).select(F.xxhash64(F.element_at("_f", 1), F.lit(n)).alias("fp"), "gram", "tid", "tpos", "k", "grams", "label", "exact") for n in sizes]
+    parts = [with_gram_hashes(index.where(F.col("k") == n), "_f", "_h", n).select(F.xxhash64(F.get("_f", F.lit(0)), F.lit(n)).alias("fp"), "gram", "tid", "tpos", "k", "grams", "label", "exact") for n in sizes]
     for x in parts[1:]:
         parts[0] = parts[0].unionByName(x)
     # Every document also has the entry 0, which keeps those without votes in the result.
