@@ -82,7 +82,9 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = 13, k: int = 8
         first = F.greatest(pos - (window - k), F.lit(0))
         last = F.col("fp") == SENTINEL
         hits = anchors.select("_row", "fp", F.when(last, F.col("_keep")).alias("_keep"), F.size("_w").alias("_n"), pos.alias("_p"), first.alias("_from"), F.slice("_w", first + 1, 2 * window - k).alias("_around"))
-        hits = hits.where(F.col("fp") != SENTINEL).join(index.where(F.col("slot") >= 0), "fp").unionByName(hits.where(F.col("fp") == SENTINEL).withColumns({"_around": F.array().cast("array<string>")}).crossJoin(F.broadcast(sentinel.drop("fp"))))
+        none = F.array().cast("array<string>")
+        ends = hits.where(F.col("fp") == SENTINEL).withColumns({"_around": none, "slot": F.lit(-1), "glen": F.lit(0), "need": F.lit(0), "lead": F.lit(0), "ctx": none, "items": none})
+        hits = hits.where(F.col("fp") != SENTINEL).join(index.where(F.col("slot") >= 0), "fp").unionByName(ends)
         first = F.greatest(F.col("_p") - F.col("lead"), F.lit(0))
         hits = hits.select("_row", "_keep", "_n", "slot", "glen", "need", "lead", "ctx", "items", "_p", first.alias("_first"), F.slice("_around", first - F.col("_from") + 1, F.size("ctx")).alias("_d"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillgraph.llm import decontaminate, langid, license_scan, mixing, near_dup, neighbours, pii, substring_dedup, token_count, warc
-from quillgraph.llm.store import fresh_dir
+from quillgraph.llm.store import scratch_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc.round_trip(_table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"), revisit_bytes=0)
+    out = warc.round_trip(_table(spark, sf_dir, "pages"), scratch_dir(spark, "warc"), revisit_bytes=0)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

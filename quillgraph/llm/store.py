@@ -29,6 +29,13 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quillgraph-{name}-{uuid.uuid4().hex}"
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh_dir whose files go when the driver's Python ends."""
+    path = fresh_dir(spark, name)
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, whatever executors are lost later."""
     shared_dir(df.sparkSession)
@@ -38,9 +45,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder as Parquet and read again; the files go when the driver's Python ends."""
     spark = df.sparkSession
-    path = fresh_dir(spark, name)
+    path = scratch_dir(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
