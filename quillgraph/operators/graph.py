@@ -154,3 +154,14 @@ def check_schema_sentinel(sentinel: DataFrame, model: str, paragraph_dims: int,
     row = sentinel.orderBy(F.desc("applied_at")).first()
     if row and (row["embedding_model"], row["paragraph_dims"], row["entity_dims"]) != (model, paragraph_dims, entity_dims):
         raise ValueError(f"the graph holds vectors of {row['embedding_model']} ({row['paragraph_dims']}, {row['entity_dims']}), not of {model} ({paragraph_dims}, {entity_dims})")
+
+
+def upsert_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Vectors (id, embedding, embedding_model) by id: a new row replaces the old one, whose model stays if none is given."""
+    n = new.select(F.col("id").alias("_i"), F.col("embedding").alias("_v"), F.col("embedding_model").alias("_m"))
+    out = old.join(n, F.col("id") == F.col("_i"), "full_outer")
+    return out.select(F.coalesce("_i", "id").alias("id"), F.coalesce("_v", "embedding").alias("embedding"), F.coalesce("_m", "embedding_model").alias("embedding_model"))
+
+
+def delete_by_id(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    return rows.join(gone.select("id"), "id", "left_anti")

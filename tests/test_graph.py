@@ -106,6 +106,9 @@ def test_other_upserts(spark):
     assert graph.insert_new(docs, new, ["content_hash"]).count() == 2
     p = lambda k, v: spark.createDataFrame([(k, v)], "id string, properties map<string,string>")
     assert graph.merge_properties(p("a", {"x": "1", "y": "1"}), p("a", {"y": "2"})  , "id").first()["properties"] == {"x": "1", "y": "2"}
+    v = lambda *r: spark.createDataFrame(list(r), "id string, embedding array<double>, embedding_model string")
+    assert {(r["id"], r["embedding"][0], r["embedding_model"]) for r in graph.upsert_vectors(v(("a", [1.0], "m"), ("b", [2.0], "m")), v(("a", [9.0], None), ("c", [3.0], "n"))).collect()} == {("a", 9.0, "m"), ("b", 2.0, "m"), ("c", 3.0, "n")}
+    assert got(graph.delete_by_id(v(("a", [1.0], "m"), ("b", [2.0], "m")), ids(spark, "a"))) == ["b"]
     n, e = graph.detach_delete(ids(spark, "a", "b", "c"), edges(spark, ("a", "R", "b"), ("b", "R", "c"), ("a", "R", "c")), ids(spark, "b"))
     assert got(n) == ["a", "c"] and e.count() == 1
     log = spark.createDataFrame([("f", "h1", "d1", 1), ("f", "h2", "d2", 2)], "file_path string, content_hash string, document_id string, seq long")

@@ -134,6 +134,13 @@ def test_files_to_graph(spark, folder, tmp_path):
     assert ingest.with_retries(call, base_s=0.001) == "ok" and len(tries) == 3
 
 
+def test_command_line_writes_a_graph(spark, folder, tmp_path):
+    from quillgraph.__main__ import main
+
+    at = main(["ingest", str(folder), str(tmp_path / "out")])
+    assert spark.read.parquet(f"{at}/entities").count() == 2 and spark.read.parquet(f"{at}/mentions").count() == 2
+
+
 def test_stream_takes_each_file_once(spark, folder, tmp_path):
     log, check, seen = str(tmp_path / "log"), str(tmp_path / "check"), []
 
