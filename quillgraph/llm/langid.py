@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm.kernels import slices, text_bytes
+from quillgraph.llm.kernels import PIECE, slices, text_bytes
 
 #: Byte n-grams whose presence makes up the spectrum, and the number of slots they are hashed to.
 ORDERS = (2, 3, 4)
@@ -24,20 +24,20 @@ _FOLD[65:91] += 32
 
 
 def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """texts x SLOTS: whether any n-gram of the text hashes to the slot."""
+    """texts x SLOTS: whether any n-gram of the text hashes to the slot. Works on a piece of bytes at a time."""
     out = np.zeros((len(offsets) - 1) * SLOTS, bool)
-    data = _FOLD[data].astype(np.uint32)
-    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64) * SLOTS, np.diff(offsets))
-    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
-    code = data.copy()
-    for n in range(2, max(ORDERS) + 1):
-        if len(data) < n:
-            break
-        code = code[: len(data) - n + 1] * np.uint32(257) + data[n - 1 :]
-        if n in ORDERS:
-            slot = ((code * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(32 - SLOTS.bit_length() + 1)).astype(np.int64)
-            inside = left[: len(code)] >= n
-            out[(row[: len(code)] + slot)[inside]] = True
+    for lo in range(0, len(data), PIECE):
+        hi = min(len(data), lo + PIECE + max(ORDERS) - 1)
+        edges = np.clip(offsets, lo, hi) - lo
+        size = np.diff(edges)
+        row = np.repeat(np.arange(len(size), dtype=np.int64) * SLOTS, size)
+        left = np.repeat(edges[1:], size) - np.arange(hi - lo)
+        code = folded = _FOLD[data[lo:hi]].astype(np.uint32)
+        for n in range(2, max(ORDERS) + 1):
+            code = code[: max(0, hi - lo - n + 1)] * np.uint32(257) + folded[n - 1 :]
+            if n in ORDERS:
+                slot = ((code * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(32 - SLOTS.bit_length() + 1)).astype(np.int64)
+                out[(row[: len(code)] + slot)[left[: len(code)] >= n]] = True
     return out.reshape(-1, SLOTS)
 
 

@@ -49,7 +49,7 @@ def base_spans(text: str, digits: bool = True) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns; digits: whether there are any."""
     out = [(a, b, "email") for a, b in _emails(text)] if "@" in text else []
     if digits:
-        out += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(p) < 4 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
         for m in _CARD.finditer(text):
             d = m[0].replace(" ", "").replace("-", "") if m.end() - m.start() >= 14 else ""
             if 14 <= len(d) <= 19 and luhn(d):

@@ -104,6 +104,16 @@ def test_languages_are_told_apart(spark):
     assert langid.predict(df.limit(0), langid.learn(df)).count() == 0
 
 
+def test_presence_is_the_same_in_pieces(monkeypatch):
+    texts = [b"", b"a", b"ab", b"The cat", text_of(300, 1).encode(), b"xyz" * 40]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    whole = langid.presence(data, offsets)
+    alone = [langid.presence(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    monkeypatch.setattr(langid, "PIECE", 17)
+    assert (langid.presence(data, offsets) == whole).all() and (np.stack(alone) == whole).all()
+    assert whole[0].sum() == 0 and whole[2].sum() == 1 and whole[3].sum() == 6 + 5 + 4
+
+
 def test_held_out_follows_crc32(spark):
     df = spark.range(50).select(langid.held_out(F.col("id")).alias("h"), "id")
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in df.collect())
@@ -309,6 +319,7 @@ def brute_base(text):
 def test_base_patterns_equal_plain_regular_expressions():
     r = random.Random(5)
     parts = ["a@b.c", "_d@e.f", "@", ".", "1.2.3.4", "999", "255.255.255.255", "+1 (212) 555-0100", "+", "4111 1111 1111 1111", "4111-1111-1111-1112", "x", " ", "-", "é", "12", "\n", "%", "a.b@c-d.e.f"]
+    assert pii.base_spans("0" * 9000 + "1.2.3.0004") == [(0, 9010, "ip")]
     for _ in range(3000):
         t = "".join(r.choice(parts) for _ in range(r.randrange(0, 14)))
         assert pii.base_spans(t) == brute_base(t), t
