@@ -92,8 +92,9 @@ def layout_expand(anchors: DataFrame, paragraphs: DataFrame, window: int, doc_co
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(edge_id, kind, src, dst, s, t): each edge once in each direction; s and t keep its own."""
-    own = edges.select("edge_id", "kind", F.col("src"), F.col("dst"), F.col("src").alias("s"), F.col("dst").alias("t"))
-    return own.unionByName(own.select("edge_id", "kind", F.col("dst").alias("src"), F.col("src").alias("dst"), "s", "t"))
+    way = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
+    own = edges.select("edge_id", "kind", F.col("src").alias("s"), F.col("dst").alias("t"), F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("_w"))
+    return own.select("edge_id", "kind", "_w.src", "_w.dst", "s", "t")
 
 
 def trails(anchors: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
