@@ -123,7 +123,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 8, functions: int = 6, width: float = 2.0, probes: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 8, functions: int = 6, width: float = 2.0, probes: int = 32, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest that are found of each row for which is_query holds, by largest
     cosine, among all rows but its own.
 
