@@ -13,19 +13,17 @@ from quillgraph.llm import decontaminate, langid, mixing, near_dup, pii
 from quillgraph.llm.store import stored, without_ids
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Least share of the predicted language; what is below is no text in any language known.
-LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language: those without a letter, or below LEAST_SCORE for every language, go. Where nothing
+    """Keeps documents with a language: those without a letter, or not typical enough of any learned language, go. Where nothing
     could be learned (no labelled text), only documents without a letter go. Repeated rows and null ids are judged like
     any other."""
     model = langid.learn(docs)
     found = langid.predict(docs, model, keep=COLUMNS)
     if model is None:
         return docs.select(*COLUMNS).where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return found.where((F.col("lang_pred") != "und") & F.col("known")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
