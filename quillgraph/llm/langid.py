@@ -16,8 +16,8 @@ from quillgraph.llm.kernels import PIECE, slices, text_bytes
 #: Byte n-grams whose presence makes up the spectrum, and the number of slots they are hashed to.
 ORDERS = (2, 3, 4)
 SLOTS = 1 << 13
-#: A text is scored in stretches of so many bytes, and so many stretches at a time.
-STRETCH, AT_ONCE = 1 << 40, 512
+#: A text is scored in stretches of so many bytes, which leave most slots empty, and so many stretches at a time.
+STRETCH, AT_ONCE = 4096, 512
 #: Most texts of a language that are learned from, stretches of such a text, and landmarks of a language.
 SAMPLE, STRETCHES, LANDMARKS = 200, 4, 32
 #: Most languages.

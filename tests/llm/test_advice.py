@@ -3,7 +3,11 @@
 import base64
 import random
 
+import numpy as np
+
 import corpus_pipeline as pipeline
+from quillgraph.llm import langid
+
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -36,3 +40,25 @@ def test_unknown_languages_and_junk_go_however_many_languages_there_are(spark):
         kept = {x["doc_id"] for x in pipeline.language_id(spark, docs, "").collect()}
         assert not kept & set(junk), (languages, kept & set(junk))
         assert len(kept) == languages * 60
+
+
+def test_a_very_long_text_keeps_its_language(spark):
+    long = [(-1 - n, invented(f"language {n}", 420_000, -1 - n), None) for n in range(3)]
+    assert all(len(t) > 2_000_000 for _, t, _ in long)
+    docs = documents(spark, 3, 60, long)
+    found = {x["doc_id"]: x for x in langid.predict(docs, langid.learn(docs)).where("doc_id < 0").collect()}
+    assert [found[-1 - n]["lang_pred"] for n in range(3)] == ["l000", "l001", "l002"]
+    assert all(x["score"] > 0.9 and x["known"] for x in found.values())
+    assert {x["doc_id"] for x in pipeline.language_id(spark, docs, "").where("doc_id < 0").collect()} == set(found)
+
+
+def test_stretches_hold_each_gram_once(monkeypatch):
+    monkeypatch.setattr(langid, "STRETCH", 16)
+    monkeypatch.setattr(langid, "AT_ONCE", 3)
+    texts = [invented("x", 30, 1).encode(), b"", b"ab", invented("y", 9, 2).encode()]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    out, size = np.zeros((4, langid.SLOTS), bool), np.zeros(4, int)
+    for text, _, length, p in langid.stretches(data, offsets):
+        np.logical_or.at(out, text, p)
+        np.add.at(size, text, length)
+    assert (out == langid.presence(data, offsets)).all() and size.tolist() == [len(t) for t in texts]
