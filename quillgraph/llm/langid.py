@@ -20,8 +20,8 @@ SLOTS = 1 << 13
 STRETCH, AT_ONCE = 4096, 512
 #: Most texts of a language that are learned from, stretches of such a text, and landmarks of a language.
 SAMPLE, STRETCHES, LANDMARKS = 200, 4, 32
-#: Most languages.
-LANGUAGES = 64
+#: With more languages each has fewer texts, to about so many in all but LEAST_TEXTS each, and fewer landmarks, but one.
+TEXTS_IN_ALL, LEAST_TEXTS, LANDMARKS_IN_ALL = 12_800, 8, 2048
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -115,7 +115,7 @@ def fit(bits: np.ndarray, y: list[str], per_language: int = LANDMARKS, ridge: fl
     label = np.array([number[v] for v in y])
     at = np.split(np.argsort(label, kind="stable"), np.cumsum(np.bincount(label))[:-1])
     rows = lambda own: np.unpackbits(bits[own], axis=1)
-    marks = spectrum(rows(np.concatenate([own[:per_language] for own in at])))
+    marks = spectrum(rows(np.concatenate([own[: max(1, min(per_language, LANDMARKS_IN_ALL // len(languages)))] for own in at])))
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     root = vector / np.sqrt(np.maximum(value, 1e-6))
     root[:, value < 1e-6] = 0
@@ -167,10 +167,10 @@ def learn(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", lang
     ids = seen.select("_id", "lang", F.xxhash64("_id").alias("_h"))
     first = ids.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_id"))).where(F.col("_n") <= sample)
     first = first.select("_id", F.col("lang").alias("_l"), "_n").dropDuplicates(["_id", "_l"])
-    # At most sample * LANGUAGES ids where languages are at most so many; a longer list is cut to the commonest.
-    if first.select("_l").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
-        top = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select(F.col("lang").alias("_l"))
-        first = first.join(F.broadcast(top), "_l", "left_semi")
+    # What is collected grows with the languages alone: TEXTS_IN_ALL texts, or LEAST_TEXTS of each if that is more.
+    languages = first.select("_l").distinct().count()
+    if languages * sample > TEXTS_IN_ALL:
+        first = first.where(F.col("_n") <= max(LEAST_TEXTS, TEXTS_IN_ALL // languages))
     first = first.withColumnRenamed("_id", "_id2")
     own = seen.join(F.broadcast(first), (F.col("_id") == F.col("_id2")) & (F.col("lang") == F.col("_l")))
     rows = own.select("text", "lang").mapInArrow(_packed, "lang string, bits binary").collect()

@@ -4,6 +4,7 @@ import base64
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from quillgraph.llm import langid
@@ -62,3 +63,11 @@ def test_stretches_hold_each_gram_once(monkeypatch):
         np.logical_or.at(out, text, p)
         np.add.at(size, text, length)
     assert (out == langid.presence(data, offsets)).all() and size.tolist() == [len(t) for t in texts]
+
+
+def test_every_language_is_learned(spark):
+    docs = documents(spark, 80, 14)
+    model = langid.learn(docs)
+    assert len(model.languages) == 80
+    got = langid.predict(docs, model, keep=("lang",)).where(langid.held_out(F.col("doc_id"))).collect()
+    assert {x["lang"] for x in got} > {x["lang"] for x in got[:1]} and np.mean([x["lang"] == x["lang_pred"] for x in got]) > 0.97
