@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from quillgraph.llm import langid
+from quillgraph.llm import langid, near_dup
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -71,3 +71,23 @@ def test_every_language_is_learned(spark):
     assert len(model.languages) == 80
     got = langid.predict(docs, model, keep=("lang",)).where(langid.held_out(F.col("doc_id"))).collect()
     assert {x["lang"] for x in got} > {x["lang"] for x in got[:1]} and np.mean([x["lang"] == x["lang_pred"] for x in got]) > 0.97
+
+
+# ---- near duplicates
+
+
+def test_pairs_that_meet_only_beside_other_centres_are_linked(spark, monkeypatch):
+    # A pair shares no shingle but those of the passage that all texts share; unrelated texts align at 0.77.
+    r = random.Random(8)
+    fresh = lambda n: [f"w{r.randrange(10**8)}" for _ in range(n)]
+    shared, rows, group = fresh(150), [], {}
+    order = list(range(1, 121))
+    r.shuffle(order)
+    for a, b in zip(order[::2], order[1::2]):
+        own = fresh(45)
+        copy = [fresh(1)[0] if i % 5 == 2 else w for i, w in enumerate(own)]
+        rows += [(a, " ".join(shared + own)), (b, " ".join(shared + copy))]
+        group |= {a: min(a, b), b: min(a, b)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_dup, "CENTRES", 8, raising=False)  # so that there are more rounds than two
+    assert {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(docs).collect()} == group
