@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from quillgraph.llm import langid, near_dup
+from quillgraph.llm import langid, near_dup, pii
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -91,3 +91,18 @@ def test_pairs_that_meet_only_beside_other_centres_are_linked(spark, monkeypatch
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(near_dup, "CENTRES", 8, raising=False)  # so that there are more rounds than two
     assert {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(docs).collect()} == group
+
+
+# ---- personal data
+
+
+def test_long_secrets_are_candidates(spark):
+    r = random.Random(4)
+    token = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    late = "".join(r.choice("abcdefghijk") for _ in range(70)) + "7" + token(20)
+    long = [token(129), token(5000), late]
+    texts = [f'token = "{t}"' for t in [*long, *(token(40) for _ in range(30))]] + ["plain words of no interest"]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), redact=True).where("doc_id < 3").collect()
+    assert [x["redacted"] for x in found] == ['token = "[SECRET]"'] * 3
+    assert [x["spans"] for x in found] == [f"secret:9:{9 + len(t)}" for t in long]
+    assert not pii.candidates("a" * 200_000, [], True)
