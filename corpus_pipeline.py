@@ -6,7 +6,7 @@ the last returns the mix: every document left and how many of its words are take
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import decontaminate, langid, mixing, near_dup, pii
@@ -27,23 +27,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near duplicates, and one row of each id. Documents with a
-    null id can't be named in a class and stay."""
+    """Keeps the document with the smallest id of each class of near duplicates, and one row of each id and text, the
+    least by its other columns. Where texts differ under one id, each is a document, named by id and text, and they go
+    only as near duplicates. Documents with a null id can't be named in a class and stay."""
     docs = docs.select(*COLUMNS)
-    classes = near_dup.near_duplicates(docs)
-    left = without_ids(docs, classes.where(F.col("class_id") < F.col("doc_id")).select("doc_id"), "doc_id")
-    again = docs.groupBy("doc_id").count().where((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
+    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.min(_text_key()).alias("least"), F.max(_text_key()).alias("most")).where("n > 1")
     if not again.limit(1).count():
-        return left
-    once = without_ids(left, again, "doc_id")
-    return once.unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS))
+        classes = near_dup.near_duplicates(docs)
+        return without_ids(docs, classes.where(F.col("class_id") < F.col("doc_id")).select("doc_id"), "doc_id")
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    named = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")).select("doc_id", "text", "_rest.*")
+    ids = "doc_id"
+    if again.where("least <> most").limit(1).count():
+        ids, named = "_id", named.withColumn("_id", F.struct("doc_id", _text_key().alias("key")))
+    classes = near_dup.near_duplicates(named, doc_col=ids)
+    left = without_ids(named, classes.where(F.col("class_id") < F.col(ids)).select(ids), ids).select(*COLUMNS)
+    return left.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def _text_key() -> Column:
+    """Names a text; null has a name of its own."""
+    return F.coalesce(F.sha2("text", 256), F.lit(""))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of which less than a twentieth of the words lie in passages of 13 words of the benchmark."""
-    docs = docs.select(*COLUMNS)
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without_ids(docs, found.where("contaminated").select("doc_id"), "doc_id")
+    """Keeps documents of which less than a twentieth of the words lie in passages of 13 words of the benchmark. Each row
+    is judged by its own text, whatever its id."""
+    docs = docs.select(*COLUMNS).withColumn("_key", _text_key())
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_col="_key")
+    return without_ids(docs, found.where("contaminated").select("_key"), "_key").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,3 +106,21 @@ def test_long_secrets_are_candidates(spark):
     assert [x["redacted"] for x in found] == ['token = "[SECRET]"'] * 3
     assert [x["spans"] for x in found] == [f"secret:9:{9 + len(t)}" for t in long]
     assert not pii.candidates("a" * 200_000, [], True)
+
+
+# ---- the pipeline's rows
+
+
+def test_rows_are_judged_by_their_own_text(spark, tmp_path):
+    item, other = invented("item", 40, 1), invented("other", 60, 2)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [invented("clean", 60, i) for i in range(3)]
+    rows = [(None, item), (None, clean[0]), (5, item), (5, clean[1]), (6, clean[2])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS)
+    left = pipeline.benchmark_passages(spark, docs, str(tmp_path)).collect()
+    assert sorted((x["doc_id"] or -1, x["text"]) for x in left) == sorted([(-1, clean[0]), (5, clean[1]), (6, clean[2])])
+    rows = [(7, clean[0], "b"), (7, clean[0] + " more", "a"), (7, other, "a"), (8, clean[1], "b"), (8, clean[1], "a"), (9, other, "a"), (None, other, "a")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], COLUMNS)
+    left = [(x["doc_id"], x["text"], x["lang"]) for x in pipeline.near_duplicates(spark, docs, "").collect()]
+    assert {(i, t) for i, t, _ in left} in ({(7, c), (7, other), (8, clean[1]), (None, other)} for c in (clean[0], clean[0] + " more"))
+    assert len(left) == 4 and (8, clean[1], "a") in left
