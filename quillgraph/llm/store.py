@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a new local one."""
+    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a new local one, but not on a cluster, whose
+    machines don't share it. What is checkpointed there goes when the driver's Python ends."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         found = sc._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="quillgraph-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
+        atexit.register(_remove, spark, sc._jsc.sc().getCheckpointDir().get())
     return named
 
 

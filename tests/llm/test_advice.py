@@ -89,10 +89,59 @@ def test_pairs_that_meet_only_beside_other_centres_are_linked(spark, monkeypatch
         rows += [(a, " ".join(shared + own)), (b, " ".join(shared + copy))]
         group |= {a: min(a, b), b: min(a, b)}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(near_dup, "CENTRES", 8, raising=False)  # so that there are more rounds than two
+    monkeypatch.setattr(near_dup, "BLOCK", 16)  # so that the texts of a sketch meet in several blocks
     assert {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(docs).collect()} == group
 
 
+def substituted(text, share, seed):
+    """The text with a share of its words, at random places, changed."""
+    r = random.Random(seed)
+    w = text.split()
+    for i in r.sample(range(len(w)), round(len(w) * share)):
+        w[i] = f"new{r.randrange(10**9)}"
+    return " ".join(w)
+
+
+def edit_similarity(a, b):
+    """1 - edit distance / words of the longer, by the plain table."""
+    a, b = a.split(), b.split()
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    # All pairs are held against each other by the plain table of edit distances, unless they have too few words in common.
+    texts, rate = {}, {}
+    for n, share in enumerate((0.1, 0.15, 0.2)):
+        for i in range(80):
+            a = 1000 * n + 2 * i
+            texts[a] = " ".join(f"w{x}" for x in random.Random(a).choices(range(10**6), k=50 + 2 * i))
+            texts[a + 1] = substituted(texts[a], share, a)
+            rate[a, a + 1] = share
+    bags = {i: set(t.split()) for i, t in texts.items()}
+    links = [(a, b) for a in texts for b in texts if a < b and len(bags[a] & bags[b]) >= 0.8 * max(len(bags[a]), len(bags[b])) - 1 and edit_similarity(texts[a], texts[b]) >= 0.8]
+    assert set(links) <= set(rate) and len(links) > 200
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(docs).collect()}
+    for share, least in ((0.1, 0.99), (0.15, 0.97), (0.2, 0.9)):
+        own = [p for p in links if rate[p] == share]
+        found = sum(got[a] == got[b] for a, b in own) / len(own)
+        assert found >= least, (share, found)
+    pairs = {frozenset(p) for p in links}
+    assert all(c == i or frozenset((c, i)) in pairs for i, c in got.items())
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = invented("long", 60_000, 1)
+    rows = [(1, long), (2, substituted(long, 0.05, 2)), (3, invented("other", 60_000, 3)), (4, "x"), (5, "x")]
+    docs = spark.createDataFrame([(i, t, i, t, "k") for i, t in rows], "doc_id long, text string, id long, sha string, key string")
+    assert {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
 # ---- personal data
 
 
