@@ -46,15 +46,16 @@ def benchmark_index(bench: DataFrame, window: int, k: int, item_col: str, text_c
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, window: int = 13, k: int = 8, one_in: int = 20, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Per row of docs: doc_col, n_words, n_hit, n_items, items, contaminated, and the columns named in keep.
+    """Per row of docs: doc_col, n_words, n_hit, longest, n_items, items, contaminated, and the columns named in keep.
 
     A window is `window` consecutive words of an item, or all of a shorter item. Both sides keep the minimum k-gram
     hash of every window - k + 1 neighbouring k-grams, so any shared window shares a fingerprint; each joined
     fingerprint is then compared word by word to both sides, and counts if it stretches over a whole window. A
     document is contaminated if the words hit make up at least one in
-    `one_in` of its words.
+    `one_in` of its words; longest is the number of words of its longest hit.
 
-    Null and empty texts have no words and are clean; null or empty items match nothing; repeated rows are judged each
+    Null and empty texts have no words and are clean; null or empty items match nothing; an item without an id counts in
+    n_hit, but not in n_items; repeated rows are judged each
     on their own; ties between equal hashes are all kept; an empty benchmark leaves every document clean. Other columns
     are ignored but for those in keep.
     """
@@ -102,5 +103,6 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = 13, k: int = 8
     out = hits.groupBy("_row").agg(F.first("_keep", ignorenulls=True).alias("_keep"), F.max("_n").cast("long").alias("n_words"), F.array_sort(F.collect_set("_s")).alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("items"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     n_hit = F.aggregate("_s", zero, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), s["b"] - F.greatest(a["end"], s["a"]))).alias("n"), F.greatest(a["end"], s["b"]).alias("end")), lambda a: a["n"])
-    out = out.select("_keep.*", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
+    longest = F.coalesce(F.array_max(F.transform("_s", lambda s: s["b"] - s["a"])), F.lit(0)).cast("long")
+    out = out.select("_keep.*", "n_words", n_hit.alias("n_hit"), longest.alias("longest"), F.size("items").cast("long").alias("n_items"), "items")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))

@@ -117,29 +117,47 @@ c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / wt
 o AS (SELECT *, coalesce(sum(cap) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps, sum(wt) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_, sum(source_size) OVER () * 1.5::DOUBLE AS all_, row_number() OVER q AS n FROM c WINDOW q AS (ORDER BY full_, source NULLS LAST)),
 l AS (SELECT arg_min((all_ - caps) / left_, n) AS level FROM o WHERE full_ >= (all_ - caps) / left_),
 t AS (SELECT source, source_size, least(cap, coalesce(level * wt, cap)) AS target FROM o CROSS JOIN l),
-e AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(least(end_, floor(target)) - least(end_ - size, floor(target)) + least(end_ + source_size, floor(target)) - least(end_ + source_size - size, floor(target)) AS BIGINT) AS taken FROM e
+e AS (SELECT d.doc_id, d.h, d.source, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS goal, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+y AS (SELECT *, 0 AS copy, end_ AS last FROM e UNION ALL SELECT *, 1 AS copy, end_ + source_size AS last FROM e),
+z AS (SELECT *, goal - (last - size) AS n, goal AS to_ FROM y WHERE last - size < goal AND goal < last
+  UNION ALL SELECT *, last - goal AS n, last AS to_ FROM y WHERE last - size < goal AND goal < last
+  UNION ALL SELECT *, size AS n, last AS to_ FROM y WHERE NOT (last - size < goal AND goal < last)),
+r AS (SELECT *, sum(n) OVER (ORDER BY to_ / target NULLS LAST, source NULLS LAST, copy, h, to_ ROWS UNBOUNDED PRECEDING) AS running, (SELECT floor(1.5::DOUBLE * sum(size)) FROM d) AS budget FROM z)
+SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, least(n, budget - running + n))) AS BIGINT) AS taken FROM r GROUP BY doc_id, h, size, source_size, target
 """
 
 
-def _op10_sql() -> str:
-    grams = ", ".join(f"({t}, '{' '.join(w[p : p + k])}', {p}, {k}, {len(w) - k + 1}, '{label}', {str(exact).lower()})" for t, w, label, k, exact in license_scan.templates(license_scan.PHRASES, license_scan.NOTICES, license_scan.MAX_GRAM) for p in range(len(w) - k + 1))
-    return f"""
+# Phrases, notices and the rule of their spans are written out here, so that a fault in the operator's shows.
+_OP10_SQL = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
-t(tid, gram, tpos, k, grams, label, exact) AS (VALUES {grams}),
-ks AS (SELECT DISTINCT k FROM t),
+t(tid, w, label, exact) AS (VALUES
+  (1, 'cc by', 'cc-by', true), (2, 'general public license', 'gpl', true), (3, 'all rights reserved', 'reserved', true),
+  (4, 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files', 'mit', false),
+  (5, 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met', 'bsd', false),
+  (6, 'licensed under the apache license version 2 0 you may not use this file except in compliance with the license', 'apache', false),
+  (7, 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license', 'gpl', false),
+  (8, 'this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license', 'lgpl', false),
+  (9, 'this source code form is subject to the terms of the mozilla public license', 'mpl', false),
+  (10, 'permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted', 'isc', false),
+  (11, 'this is free and unencumbered software released into the public domain', 'unlicense', false),
+  (12, 'this work is licensed under a creative commons attribution', 'cc', false)),
+tw AS (SELECT tid, string_split(w, ' ') AS w, label, exact FROM t),
+p AS (SELECT tid, least(3, len(w)) AS k, len(w) AS m, len(w) - least(3, len(w)) + 1 AS grams, label, exact, w, unnest(range(0, len(w) - least(3, len(w)) + 1)) AS tpos FROM tw),
+g AS (SELECT *, array_to_string(w[tpos + 1 : tpos + k], ' ') AS gram FROM p),
 x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM d),
 pl AS (SELECT doc_id, i, list(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS v FROM x),
-hit AS (SELECT a.doc_id, t.tid, t.grams, t.label, t.exact, a.i - t.tpos AS diag FROM (SELECT doc_id, i, k, array_to_string(v[1:k], ' ') AS gram FROM pl, ks WHERE len(v) >= k) a JOIN t ON a.gram = t.gram AND a.k = t.k),
-v AS (SELECT doc_id, tid, grams, label, exact, diag, count(*) AS votes FROM hit GROUP BY ALL),
-m AS (SELECT *, sum(votes) OVER (PARTITION BY doc_id, tid ORDER BY diag RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM v),
-f AS (SELECT *, exact AND votes >= grams AS base, NOT exact AND near / grams >= 0.6 AS more FROM m),
-g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(diag) FILTER (base) AS first_word, max(diag) FILTER (base) AS last_word,
-  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR more) AS labels,
-  max(CASE WHEN base THEN 1.0 WHEN more THEN least(1.0, near / grams) END) AS score FROM f GROUP BY doc_id)
+hit AS (SELECT a.doc_id, g.tid, g.m, g.grams, g.label, g.exact, g.tpos, a.i AS pos, a.i - g.tpos AS diag FROM (SELECT doc_id, i, k, array_to_string(v[1:k], ' ') AS gram FROM pl, (SELECT unnest([2, 3]) AS k) WHERE len(v) >= k) a JOIN g ON a.gram = g.gram AND a.k = g.k),
+base AS (SELECT doc_id, label, diag FROM hit WHERE exact GROUP BY doc_id, tid, label, diag, grams HAVING count(*) = grams),
+gap AS (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY doc_id, tid ORDER BY diag, tpos) <= 2 THEN 0 ELSE 1 END AS new FROM hit WHERE NOT exact),
+chain AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tid ORDER BY diag, tpos ROWS UNBOUNDED PRECEDING) AS chain FROM gap),
+once AS (SELECT doc_id, tid, chain, m, grams, label, tpos, min(pos) AS pos FROM chain GROUP BY ALL),
+sorted AS (SELECT *, coalesce(max(pos) OVER (PARTITION BY doc_id, tid, chain ORDER BY tpos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM once),
+span AS (SELECT doc_id, label, count(*) / grams AS share FROM sorted WHERE pos > before GROUP BY doc_id, tid, chain, m, grams, label HAVING count(*) >= 0.6 * grams AND max(pos) - min(pos) < 2 * m),
+f AS (SELECT doc_id, label, diag, true AS exact, 1.0::DOUBLE AS score FROM base UNION ALL SELECT doc_id, label, NULL, false, CAST(share AS DOUBLE) FROM span),
+o AS (SELECT doc_id, count(*) FILTER (exact) AS n_base, min(diag) AS first_word, max(diag) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM f GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
-  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
-FROM d LEFT JOIN g USING (doc_id)
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN o USING (doc_id)
 """
 
 
@@ -148,4 +166,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": _OP1_SQL, "op2_substring_dedup": _OP2_SQL, "op6_warc": _OP6_SQL, "op7_mix_sources": _OP7_SQL, "op10_license_scan": _op10_sql()}
+    return {"op1_decontaminate": _OP1_SQL, "op2_substring_dedup": _OP2_SQL, "op6_warc": _OP6_SQL, "op7_mix_sources": _OP7_SQL, "op10_license_scan": _OP10_SQL}

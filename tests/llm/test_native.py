@@ -1,5 +1,7 @@
 """Decontamination, license scan and mixing against brute force, with the cases that the docstrings name."""
 
+import hashlib
+import random
 import re
 from collections import Counter
 
@@ -66,6 +68,10 @@ LICENSED = [
     "CC-BY and cc by", None, "", "the GNU General Public License, v3. All rights reserved.", "general public", "cc by by cc by",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)",
     "Permission is hereby granted, free of any charge, to each person obtaining copy of this software and associated documentation files", "word " * 3000 + "all rights reserved", "all rights  reserved all rights reserved",
+    # A text that drifts word by word, one whose halves trade places, one that repeats its grams, and a notice pulled apart.
+    "permission x is hereby granted y free of charge to z any person obtaining a copy u of this software and associated v documentation files",
+    "obtaining a copy of this software and associated documentation files permission is hereby granted free of charge to any person",
+    "this is free and this is free and this is free and this is free and this is free and this is free", " filler".join("this is free and unencumbered software released into the public domain".split()), "this is free and unencumbered software released into the public domain " * 40,
 ]
 
 
@@ -75,11 +81,18 @@ def brute_licenses(text):
     labels, score = {label for _, label in spots}, 1.0 if spots else 0.0
     for p, label in license_scan.NOTICES.items():
         t = p.split()
-        votes = Counter(i - j for i in range(len(w) - 2) for j in range(len(t) - 2) if w[i : i + 3] == t[j : j + 3])
-        best = max((min(1.0, sum(votes[d + x] for x in range(-2, 3)) / (len(t) - 2)) for d in list(votes)), default=0)
-        if best >= 0.6:
-            labels.add(label)
-            score = max(score, best)
+        found = sorted((i - j, j, i) for i in range(len(w) - 2) for j in range(len(t) - 2) if w[i : i + 3] == t[j : j + 3])
+        chains = []
+        for x in found:
+            if not chains or x[0] - chains[-1][-1][0] > 2:
+                chains.append([])
+            chains[-1].append(x)
+        for chain in chains:
+            first = {j: min(i for _, j2, i in chain if j2 == j) for _, j, _ in chain}
+            spots_in_order = [i for j, i in sorted(first.items()) if all(i > first[j2] for j2 in first if j2 < j)]
+            if len(spots_in_order) >= 0.6 * (len(t) - 2) and spots_in_order[-1] - spots_in_order[0] < 2 * len(t):
+                labels.add(label)
+                score = max(score, len(spots_in_order) / (len(t) - 2))
     at = [i for i, _ in spots]
     return len(w), len(at), min(at, default=None), max(at, default=None), sorted({x for _, x in spots}), sorted(labels), pytest.approx(score)
 
@@ -122,16 +135,47 @@ def test_mixing_reaches_the_targets(spark):
         assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
         assert 0 <= r["taken"] <= 2 * r["size"]
         taken[r["source"]] += r["taken"]
-    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    assert all(abs(taken[s] - want[s]) <= len(want) for s in want) and sum(taken.values()) == int(1.5 * sum(sizes.values()))
     again = mixing.taken_by_document(df.repartition(3), keep=("source",), run_digits=1).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
 
 
+def brute_mix(rows, weights=(3, 1, 2)):
+    """Taken words of each row (doc_id, text, source), by one walk over all pieces in the order of their finish."""
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len((text or "").split())
+    goal, pieces, budget = targets(sizes, weights), [], int(1.5 * sum(sizes.values()))
+    for source in sizes:
+        own = sorted((hashlib.md5("\x01".join(["17", str(i), t or ""]).encode()).hexdigest(), n) for n, (i, t, s) in enumerate(rows) if s == source)
+        at = 0
+        for copy in (0, 1):
+            for h, n in own:
+                size, edge = len((rows[n][1] or "").split()), int(goal[source])
+                cuts = [at, edge, at + size] if at < edge < at + size else [at, at + size]
+                pieces += [(b / goal[source], source, copy, h, n, b - a) for a, b in zip(cuts, cuts[1:]) if b > a]
+                at += size
+    taken = Counter()
+    for *_, n, size in sorted(pieces):
+        taken[n] += min(size, budget)
+        budget -= min(size, budget)
+    return [taken[n] for n in range(len(rows))]
+
+
+def test_the_mix_equals_a_walk_in_order_of_finish(spark):
+    r = random.Random(2)
+    rows = [(i, "w " * r.choice([1, 5, 40, 300]), r.choice("aaaabcd")) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for n in (1, 7):
+        got = {x["doc_id"]: x["taken"] for x in mixing.taken_by_document(df.repartition(n)).collect()}
+        assert [got[i] for i in range(300)] == brute_mix(rows)
+
+
 def test_the_mix_is_in_order_of_finish_and_within_budget(spark):
     df = spark.createDataFrame([(i, "w " * (i % 9 + 1), f"s{i % 3}") for i in range(90)], "doc_id long, text string, source string")
     got = mixing.mix(df).collect()
     assert [r["finish"] for r in got] == sorted(r["finish"] for r in got)
-    assert all(r["start"] < 1 for r in got)
+    assert sum(r["taken"] for r in got if r["start"] >= 1) <= 3
     total = sum(i % 9 + 1 for i in range(90))
     assert abs(sum(r["taken"] for r in got) - 1.5 * total) <= 3
     assert mixing.mix(df.limit(0)).count() == 0
