@@ -50,22 +50,32 @@ def _text_key() -> Column:
     return F.coalesce(F.sha2("text", 256), F.lit(""))
 
 
+#: Words of a passage that the corpus and the benchmark may not have in common.
+PASSAGE = 13
+
+
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of which less than a twentieth of the words lie in passages of 13 words of the benchmark. Each row
-    is judged by its own text, whatever its id."""
+    """Keeps documents that have no passage of PASSAGE words in common with the benchmark, however long they are, and of
+    which less than a twentieth of the words lie in shorter items. Each row is judged by its own text, whatever its id:
+    repeated rows and rows without an id stay or go alike. Null and empty texts have no passage and stay, as all do where
+    the benchmark is empty; a document that holds several items equally goes for any of them."""
     docs = docs.select(*COLUMNS).withColumn("_key", _text_key())
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_col="_key")
-    return without_ids(docs, found.where("contaminated").select("_key"), "_key").select(*COLUMNS)
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=PASSAGE, doc_col="_key")
+    return without_ids(docs, found.where(F.col("contaminated") | (F.col("longest") >= PASSAGE)).select("_key"), "_key").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps all documents, each span of personal data replaced by its kind in brackets; n_chars follows."""
+    """Keeps all documents, each span of personal data replaced by its kind in brackets; n_chars follows. Null texts stay
+    null and empty ones empty; repeated rows are redacted alike; of spans that begin together the first kind in pii.KINDS
+    names the stretch."""
     found = pii.find(docs, keep=("lang", "source"), redact=True)
     return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars, size, source_size, target, taken: the words of each document that the mix takes."""
+    """doc_id, lang, source, n_chars, size, source_size, target, taken: the words of each document that the mix takes. Null
+    and empty texts have size 0 and are never taken; a null source is one source; rows that repeat an id are taken each
+    on their own, those that are equal in any order."""
     return mixing.taken_by_document(docs, keep=("lang", "source", "n_chars"))
 
 
