@@ -76,7 +76,7 @@ def test_every_language_is_learned(spark):
 # ---- near duplicates
 
 
-def test_pairs_that_meet_only_beside_other_centres_are_linked(spark, monkeypatch):
+def test_pairs_that_meet_only_beside_other_centres_are_linked(spark):
     # A pair shares no shingle but those of the passage that all texts share; unrelated texts align at 0.77.
     r = random.Random(8)
     fresh = lambda n: [f"w{r.randrange(10**8)}" for _ in range(n)]
@@ -89,7 +89,6 @@ def test_pairs_that_meet_only_beside_other_centres_are_linked(spark, monkeypatch
         rows += [(a, " ".join(shared + own)), (b, " ".join(shared + copy))]
         group |= {a: min(a, b), b: min(a, b)}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(near_dup, "BLOCK", 16)  # so that the texts of a sketch meet in several blocks
     assert {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(docs).collect()} == group
 
 
