@@ -18,6 +18,14 @@ def recall(retrieved: Column, expected: Column) -> Column:
     return F.when(F.size(want) == 0, 1.0).otherwise(F.size(F.array_intersect(want, retrieved)) / F.size(want))
 
 
+def precision_recall(rows: DataFrame, group: str, item: str, retrieved: Column, expected: Column) -> DataFrame:
+    """(group, precision, recall) by counts of distinct items, however many there are: an item is retrieved, or expected,
+    where any of its rows is. 0 where nothing was retrieved, recall 1 where nothing was expected."""
+    each = rows.groupBy(group, item).agg(F.coalesce(F.bool_or(retrieved), F.lit(False)).alias("r"), F.coalesce(F.bool_or(expected), F.lit(False)).alias("e"))
+    n = each.groupBy(group).agg(F.count_if("r").alias("r"), F.count_if("e").alias("e"), F.count_if(F.col("r") & F.col("e")).alias("b"))
+    return n.select(group, F.when(F.col("r") == 0, 0.0).otherwise(F.col("b") / F.col("r")).alias("precision"), F.when(F.col("e") == 0, 1.0).otherwise(F.col("b") / F.col("e")).alias("recall"))
+
+
 def entity_recall(expected: DataFrame, entities: DataFrame) -> DataFrame:
     """Share of the expected (name, type) rows that some entity has, by name in lower case."""
     have = entities.select(F.lower("name").alias("_n")).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -58,16 +59,22 @@ def token_overlap_judge(least: float = 0.5) -> Callable[[Column, Column, Column]
     return judge
 
 
-def components(pairs: DataFrame, rounds: int = 30) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(id, root): the smallest id that each id of the pairs (a, b) hangs together with.
 
     Every round gives each id the least root among its own and its neighbours', and then that root's root, so a chain of
-    n takes about log n rounds. Each is checkpointed where the session has a checkpoint folder."""
-    spark = pairs.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda df: df.persist())
+    n takes about log n rounds. Each is checkpointed, so that a lost executor costs no round again; a cluster needs a
+    checkpoint folder, a local session is given one."""
+    sc = pairs.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillgraph-"))
+    keep = lambda df: df.checkpoint()
     edges = keep(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = keep(edges.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("root")).withColumnRenamed("a", "id"))
-    for _ in range(rounds):
+    while True:
         near = edges.join(roots.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
         step = roots.join(near, roots["id"] == near["a"]).select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         jump = roots.select(F.col("id").alias("root"), F.col("root").alias("far"))
@@ -75,7 +82,6 @@ def components(pairs: DataFrame, rounds: int = 30) -> DataFrame:
         roots = step.select("id", "root")
         if not step.where("was <> root").limit(1).count():
             return roots
-    raise RuntimeError("components did not settle")
 
 
 def canonicals(entities: DataFrame, pairs: DataFrame) -> DataFrame:

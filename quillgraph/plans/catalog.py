@@ -137,7 +137,7 @@ def batches_in_order(spark, d):
     return _paragraphs(spark, d).select("document_id", "sequence_index", F.floor((n - 1) / 3).alias("batch"))
 
 
-_RANKED = "p AS (SELECT conv_id, turn, role, text, (length(text) % 100) / 100.0 AS combined FROM conversations ORDER BY combined DESC, conv_id, turn LIMIT 200)"
+_RANKED = "p AS (SELECT conv_id, turn, role, text, (length(text) % 100) / 100.0 AS combined FROM conversations)"
 
 
 @query(f"""WITH {_RANKED},
@@ -150,7 +150,6 @@ m AS (SELECT *, head || CASE WHEN length(text) <= n THEN text ELSE substring(tex
 SELECT position, CASE WHEN over_ = 0 THEN head || text ELSE cut END AS line, over_ = 1 AS truncated FROM m WHERE over_ = 0 OR (over_ = 1 AND room > 60 AND ceil(length(cut) / 4.0) <= room)""")
 def pack_context_budget(spark, d):
     own = _paragraphs(spark, d).withColumn("combined", (F.length("text") % 100) / 100.0)
-    own = own.orderBy(F.desc("combined"), "document_id", "sequence_index").limit(200)
     null = F.lit(None).cast("string")
     rows = own.select(F.col("text").alias("content"), null.alias("file_name"), null.alias("page_number"), F.col("role").alias("section_heading"), "combined", F.struct("document_id", "sequence_index").alias("ord"))
     none = spark.createDataFrame([], "source_name string, kind string, target_name string, evidence array<string>, confidence double")
@@ -518,5 +517,4 @@ def budget_running_halt(spark, d):
 SELECT lang, round(CASE WHEN len(coalesce(r, [])) = 0 THEN 0 ELSE len(list_intersect(r, coalesce(e, []))) / len(r) END, 6) AS prec, round(CASE WHEN len(coalesce(e, [])) = 0 THEN 1 ELSE len(list_intersect(e, coalesce(r, []))) / len(e) END, 6) AS rec FROM x""")
 def eval_precision_recall(spark, d):
     own = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    own = own.groupBy("lang").agg(F.collect_set(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("r"), F.collect_set(F.when(F.col("toxic") == 0, F.col("doc_id"))).alias("e"))
-    return own.select("lang", F.round(evaluation.precision(F.col("r"), F.col("e")), 6).alias("prec"), F.round(evaluation.recall(F.col("r"), F.col("e")), 6).alias("rec"))
+    return evaluation.precision_recall(own, "lang", "doc_id", F.col("quality") == 1, F.col("toxic") == 0).select("lang", F.round("precision", 6).alias("prec"), F.round("recall", 6).alias("rec"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 import threading
 import uuid
 
@@ -13,9 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAFE = 2**53 - 1
-# Statements that change something, as the first words of a query or of a part of it.
-FORBIDDEN = ("insert", "update", "delete", "merge", "create", "drop", "alter", "truncate", "replace", "load", "set", "reset", "add", "refresh", "cache", "uncache", "analyze", "msck", "grant", "revoke", "use", "call", "execute", "declare")
-_TOKENS = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|\w+|[^\w\s]""", re.S)
+#: Nodes of a parsed query that only read; every other one is rejected, commands of any kind among them.
+READING = frozenset(
+    "Aggregate CTERelationRef Deduplicate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation ParameterizedQuery Pivot Project Range Sample Sort SubqueryAlias "
+    "Union Unpivot UnresolvedHaving UnresolvedInlineTable UnresolvedPivot UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction UnresolvedWith Window WithWindowDefinition".split()
+)
+#: Functions that may stand where a table does.
+TABLE_FUNCTIONS = frozenset("explode explode_outer inline inline_outer posexplode posexplode_outer range stack".split())
+#: Functions that reach out of the query: into the JVM, or to the files behind it.
+OUTSIDE = frozenset("java_method reflect try_reflect input_file_name input_file_block_start input_file_block_length".split())
 
 
 class QueryRejected(ValueError):
@@ -30,22 +35,53 @@ class QueryTimeout(RuntimeError):
     pass
 
 
-def check_read_only(sql: str, most_chars: int = 10_000) -> None:
-    """Raises unless the text is one query. Literals and comments are read as such first, so words inside them neither
-    forbid a query nor hide one."""
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().removesuffix("$")
+
+
+def check_read_only(spark: SparkSession, sql: str, most_chars: int = 10_000) -> None:
+    """Raises unless the text is one query over the session's temporary views and its own common table expressions.
+
+    The text is parsed, but not resolved, so nothing of it runs; then every node of the plan, of its subqueries and of its
+    expressions must be among those that only read, every relation a view's plain name, and no function one that reaches
+    outside. Quoted names and comments are read by the parser, so they hide nothing."""
     if not sql.strip() or len(sql) > most_chars:
         raise QueryRejected("a query has 1 to %d characters" % most_chars)
-    tokens = [t for t in _TOKENS.findall(sql) if not t.startswith(("--", "/*"))]
-    words = [t.lower() for t in tokens if re.match(r"\w", t)]
-    if not words or next((t.lower() for t in tokens if t != "("), "") not in ("select", "with", "from", "values", "table"):
-        raise QueryRejected("only SELECT, WITH, FROM, VALUES or TABLE")
-    if ";" in tokens[:-1]:
-        raise QueryRejected("one statement at a time")
-    for before, t in zip(["", *tokens], tokens):
-        if t.lower() in FORBIDDEN and before in ("", "(", ")", ";"):
-            raise QueryRejected(f"{t} changes something")
-    if {"reflect", "java_method", "try_reflect"} & set(words):
-        raise QueryRejected("no calls into the JVM")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except PySparkException as e:
+        raise QueryRejected(str(e).splitlines()[0]) from e
+    views = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    waiting = [(plan, frozenset())]
+    while waiting:
+        node, known = waiting.pop()
+        kind = _kind(node)
+        if kind not in READING:
+            raise QueryRejected(f"{kind} does more than read")
+        if kind == "UnresolvedWith":
+            known |= {c._1().lower() for c in _items(node.cteRelations())}
+        elif kind == "UnresolvedRelation":
+            name = _items(node.multipartIdentifier())
+            if len(name) != 1 or name[0].lower() not in views | known:
+                raise QueryRejected(f"no view {'.'.join(name)}")
+        elif kind == "UnresolvedTableValuedFunction" and (len(_items(node.name())) != 1 or node.name().last().lower() not in TABLE_FUNCTIONS):
+            raise QueryRejected(f"no table function {node.name().last()}")
+        waiting += [(x, known) for x in _items(node.children())]
+        waiting += [(x, known) for x in _items(node.innerChildren()) if kind == "UnresolvedWith"]
+        inside = _items(node.expressions())
+        while inside:
+            e = inside.pop()
+            if _kind(e) in ("UnresolvedFunction", "UnresolvedGenerator"):
+                name = [x.lower() for x in _items(e.nameParts())] if _kind(e) == "UnresolvedFunction" else [e.name().funcName().lower()]
+                if len(name) > 1 or name[-1] in OUTSIDE:
+                    raise QueryRejected(f"no calls of {'.'.join(name)}")
+            if spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.PlanExpression").isInstance(e):
+                waiting.append((e.plan(), known))
+            inside += _items(e.children())
 
 
 def json_rows(df: DataFrame) -> DataFrame:
@@ -58,7 +94,7 @@ def json_rows(df: DataFrame) -> DataFrame:
 def run_query(spark: SparkSession, sql: str, max_rows: int = 10_000, timeout_s: float = 30.0, args: dict | None = None) -> dict:
     """{rows, row_count, query_hash}: rows as JSON texts. More than max_rows raise, as a part of a result misleads; a query
     that takes longer than timeout_s is cancelled."""
-    check_read_only(sql)
+    check_read_only(spark, sql)
     group = f"quillgraph-{uuid.uuid4().hex}"
     try:
         df = spark.sql(sql, args=args) if args else spark.sql(sql)

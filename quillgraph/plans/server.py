@@ -6,12 +6,14 @@ import hmac
 import json
 import logging
 import re
+from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import SparkSession
 
+from quillgraph.plans.answers import GraphTables, Request, answer_question, hybrid_search, stub_answer
 from quillgraph.plans.guard import QueryRejected, QueryTimeout, ResultTooLarge, run_query
-from quillgraph.sources.config import Api, ConfigError
+from quillgraph.sources.config import Api, Config, ConfigError, Retrieval
 from quillgraph.sources.office import ParserError
 
 log = logging.getLogger(__name__)
@@ -36,8 +38,31 @@ def authorized(header: str | None, token: str) -> bool:
     return bool(m) and hmac.compare_digest(m[1].strip().encode(), token.encode())
 
 
+def retrieval_routes(tables: GraphTables, embed: Callable[[str], list[float]], config: Config, answer: Callable[[tuple[str, str]], dict] = stub_answer) -> dict:
+    """/api/v1/rag and /api/v1/hybrid-search {question, paragraphTopK?, entityTopK?, hops?, window?, maxContextTokens?, alpha?}
+    over the graph; None, so that they tell they are off, where the settings switch them off."""
+    names = {"paragraphTopK": "paragraph_top_k", "entityTopK": "entity_top_k", "hops": "hops", "window": "window", "maxContextTokens": "max_context_tokens", "alpha": "alpha"}
+
+    def request(body: dict, own: Retrieval, most_k: int) -> Request:
+        if not isinstance(body.get("question"), str) or not 1 <= len(body["question"]) <= 4000 or any(not isinstance(body[k], (int, float)) for k in names if k in body):
+            raise ValueError("question of 1 to 4000 characters, and numbers")
+        base = {"paragraph_top_k": own.paragraph_top_k, "entity_top_k": own.entity_top_k, "hops": own.max_hops, "window": own.layout_window, "max_context_tokens": own.max_context_tokens, "alpha": own.rank_alpha}
+        return Request(**(base | {v: body[k] for k, v in names.items() if k in body}), most_k=most_k)
+
+    def rag(body: dict) -> dict:
+        out = answer_question(tables, body.get("question", ""), embed, answer, request(body, config.rag, 50))
+        return {"answer": out["answer"], "citations": out["citations"], "confident": out["confident"], "sources": out["sources"], "orphanCitations": out["orphan_citations"], "trace": {"contextTokens": out["trace"]["context_tokens"], "seconds": out["trace"]["seconds"]}}
+
+    def hybrid(body: dict) -> dict:
+        r = request(body, config.hybrid, 100)
+        # Anchors are most_k at most; what is expanded from them goes out up to the row limit of the API.
+        return {k: [x.asDict() for x in df.limit(config.api.max_rows).collect()] for k, df in hybrid_search(tables, embed(body["question"]), r).items()}
+
+    return {"/api/v1/rag": rag if config.rag.enabled else None, "/api/v1/hybrid-search": hybrid if config.hybrid.enabled else None}
+
+
 def create_server(spark: SparkSession, api: Api, routes: dict | None = None, host: str = "127.0.0.1", port: int = 0) -> ThreadingHTTPServer:
-    """GET /health is open; POST /api/v1/query {query, maxRows?, timeoutMs?} and the `routes` (path -> function of the body,
+    """GET /health and /api/v1/health are open; POST /api/v1/query {query, maxRows?, timeoutMs?} and the `routes` (path -> function of the body,
     or None where switched off) need the bearer token."""
     if not api.token or len(api.token) < 8:
         raise ConfigError("the token has 8 characters at least")
@@ -61,7 +86,7 @@ def create_server(spark: SparkSession, api: Api, routes: dict | None = None, hos
             self.wfile.write(data)
 
         def do_GET(self) -> None:
-            self.send(*((200, {"status": "ok"}) if self.path == "/health" else (404, {"error": {"code": "not_found", "message": "no such path"}})))
+            self.send(*((200, {"status": "ok"}) if self.path in ("/health", "/api/v1/health") else (404, {"error": {"code": "not_found", "message": "no such path"}})))
 
         def do_POST(self) -> None:
             if not authorized(self.headers.get("Authorization"), api.token):

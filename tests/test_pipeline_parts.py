@@ -208,14 +208,18 @@ def test_plugins(spark):
     assert cost.report["totals"][("total", "")] == 1.0 and cost.report["averages"]["avg_resolution"] == 0
 
 
-@pytest.mark.parametrize("sql", ["SELECT 'DROP TABLE x; --'", "select 1 -- delete", "/* create */ WITH a AS (SELECT 1 AS set_) SELECT * FROM a", "(select 1)", "SELECT 'DROPLET'", "SELECT replace('a', 'a', 'b')"])
+@pytest.mark.parametrize("sql", ["SELECT 'DROP TABLE x; --'", "select 1 -- delete", "/* create */ WITH a AS (SELECT 1 AS set_) SELECT * FROM a", "(select 1)", "SELECT 'DROPLET'", "SELECT replace('a', 'a', 'b')", "SELECT max(id) FROM range(3) WHERE id IN (SELECT col FROM explode(array(1, 2)))", "SELECT count(*) OVER w AS n FROM VALUES (1) AS t(a) WINDOW w AS (PARTITION BY a)"])
 def test_guard_lets_queries_pass(spark, sql):
-    guard.check_read_only(sql)
+    guard.check_read_only(spark, sql)
     assert guard.run_query(spark, sql)["row_count"] == 1
 
 
-@pytest.mark.parametrize("sql", ["", "DROP TABLE x", "select 1; drop table x", "INSERT INTO t VALUES (1)", "/* x */ DELETE FROM t", "SELECT reflect('java.lang.System', 'exit', 0)", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "x" * 10_001])
+@pytest.mark.parametrize("sql", ["", "DROP TABLE x", "select 1; drop table x", "INSERT INTO t VALUES (1)", "/* x */ DELETE FROM t", "SELECT reflect('java.lang.System', 'exit', 0)", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "x" * 10_001,
+    "FROM v INSERT OVERWRITE DIRECTORY '/tmp/quillgraph-never' USING json SELECT id", "FROM v INSERT INTO a SELECT id INSERT INTO b SELECT id", "SELECT `reflect`('java.lang.System','getProperty','java.version')", "SELECT /**/ java_method('java.lang.System','exit', 1)",
+    "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM v WHERE id IN (SELECT value FROM text.`/etc/hostname`)", "SELECT (SELECT max(`try_reflect`('java.lang.System','getProperty','java.version')))", "SELECT * FROM other_table", "SELECT * FROM spark_catalog.default.v", "SELECT * FROM v ORDER BY `reflect`('a', 'b')",
+    "SELECT TRANSFORM(id) USING 'cat' AS x FROM v", "SET x = 1", "SHOW TABLES", "CACHE TABLE v", "EXPLAIN SELECT 1", "SELECT * FROM v LATERAL VIEW reflect('a', 'b') t AS c", "WITH a AS (SELECT * FROM json.`/etc`) SELECT * FROM a"])
 def test_guard_stops_the_rest(spark, sql):
+    spark.range(2).createOrReplaceTempView("v")
     with pytest.raises(guard.QueryRejected):
         guard.run_query(spark, sql)
 
@@ -228,7 +232,12 @@ def test_query_results(spark):
 
 
 def test_server(spark):
-    s = server.create_server(spark, config.Api(token="longenough"), {"/api/v1/rag": None})
+    p = spark.createDataFrame([(f"p{i}", "d", "f.txt", 1, "H", i, f"text {i}", [1.0, i / 10]) for i in range(4)], "id string, document_id string, file_name string, page_number int, section_heading string, sequence_index int, content string, embedding array<double>")
+    e = spark.createDataFrame([("e1", "Acme", "Org", [1.0, 0.0])], "id string, name string, type string, embedding array<double>")
+    m = spark.createDataFrame([("e1", "p0")], "entity_id string, paragraph_id string")
+    r = spark.createDataFrame([], "edge_id string, kind string, src string, dst string, evidence array<string>, confidence double")
+    routes = server.retrieval_routes(answers.GraphTables(p, e, m, r), lambda q: [1.0, 0.0], config.Config(hybrid=config.Retrieval(enabled=False)))
+    s = server.create_server(spark, config.Api(token="longenough"), routes)
     threading.Thread(target=s.serve_forever, daemon=True).start()
 
     def ask(path, body=None, token="longenough"):
@@ -239,9 +248,14 @@ def test_server(spark):
         except urllib.error.HTTPError as e:
             return e.code, json.load(e)
 
-    assert ask("/health")[0] == 200
+    assert ask("/health")[0] == 200 and ask("/api/v1/health")[0] == 200
+    status, body = ask("/api/v1/rag", {"question": "Who?", "paragraphTopK": 2})
+    assert status == 200 and body["answer"] and body["citations"] == [1] and body["sources"]
+    assert ask("/api/v1/hybrid-search", {"question": "Who?"})[0] == 503 and ask("/api/v1/rag", {"question": ""})[0] == 400 and ask("/api/v1/rag", {"question": "Who?", "hops": 9})[0] == 400
+    found = server.retrieval_routes(answers.GraphTables(p, e, m, r), lambda q: [1.0, 0.0], config.Config())["/api/v1/hybrid-search"]({"question": "Who?", "paragraphTopK": 1, "entityTopK": 1})
+    assert [(x["id"], x["origin"]) for x in found["paragraphs"]] == [("p0", "vector"), ("p1", "expansion")] and found["entities"][0]["id"] == "e1" and found["relationships"] == []
     assert ask("/api/v1/query", {"query": "SELECT 1 AS x"}) == (200, {"rows": [{"x": 1}], "rowCount": 1, "queryHash": guard.run_query(spark, "SELECT 1 AS x")["query_hash"]})
-    assert [ask("/api/v1/query", {"query": "SELECT 1"}, "wrong")[0], ask("/api/v1/query", {"query": "DROP TABLE x"})[0], ask("/api/v1/query", {"query": "SELECT id FROM range(9)", "maxRows": 3})[0], ask("/api/v1/rag", {})[0], ask("/nope", {})[0]] == [401, 400, 413, 503, 404]
+    assert [ask("/api/v1/query", {"query": "SELECT 1"}, "wrong")[0], ask("/api/v1/query", {"query": "DROP TABLE x"})[0], ask("/api/v1/query", {"query": "SELECT id FROM range(9)", "maxRows": 3})[0], ask("/nope", {})[0]] == [401, 400, 413, 404]
     s.shutdown()
     assert server.error_body(RuntimeError("secret")) == (500, {"error": {"code": "internal_error", "message": "Internal server error"}})
     with pytest.raises(config.ConfigError):

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quillgraph.plans import catalog
+from quillgraph.plans import catalog, catalog_rows  # noqa: F401  (catalog_rows adds to the catalog)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
