@@ -164,15 +164,17 @@ def learn(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", lang
     few stretches of a long one. None if there is nothing to learn from."""
     seen = docs.select(F.col(doc_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     seen = seen.where(F.col("lang").isNotNull() & ~held_out(F.col("_id")) & F.col("text").rlike(r"\p{L}"))
-    ids = seen.select("_id", "lang", F.xxhash64("_id").alias("_h"))
-    first = ids.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_id"))).where(F.col("_n") <= sample)
-    first = first.select("_id", F.col("lang").alias("_l"), "_n").dropDuplicates(["_id", "_l"])
+    seen = seen.withColumn("_t", F.xxhash64("text"))
+    ids = seen.select("_id", "lang", "_t", F.xxhash64("_id").alias("_h"))
+    first = ids.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_id", "_t"))).where(F.col("_n") <= sample)
+    first = first.groupBy("_id", F.col("lang").alias("_l"), F.col("_t").alias("_t2")).agg(F.min("_n").alias("_n"))
     # What is collected grows with the languages alone: TEXTS_IN_ALL texts, or LEAST_TEXTS of each if that is more.
     languages = first.select("_l").distinct().count()
     if languages * sample > TEXTS_IN_ALL:
         first = first.where(F.col("_n") <= max(LEAST_TEXTS, TEXTS_IN_ALL // languages))
     first = first.withColumnRenamed("_id", "_id2")
-    own = seen.join(F.broadcast(first), (F.col("_id") == F.col("_id2")) & (F.col("lang") == F.col("_l")))
+    own = seen.join(F.broadcast(first), (F.col("_id") == F.col("_id2")) & (F.col("lang") == F.col("_l")) & (F.col("_t") == F.col("_t2")))
+    own = own.dropDuplicates(["_id", "lang", "_t"])  # rows that repeat a document are one text
     rows = own.select("text", "lang").mapInArrow(_packed, "lang string, bits binary").collect()
     if not rows:
         return None

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -125,13 +127,16 @@ def decode(code: int) -> tuple[int, list[int], int]:
 def candidates(text: str, taken: list[tuple[int, int, str]], digits: bool) -> list[tuple[int, int, str, int]]:
     """(start, end, kind, code) of spans that overlap no base span."""
     out = []
+    begin = [a for a, *_ in taken]
+    reach = list(accumulate((b for _, b, _ in taken), max))
     for kind, need, pattern in _CANDIDATES:
         if need and not digits:
             continue
         for m in pattern.finditer(text):
             if kind == "secret" and not _DIGIT.search(m[0]):
                 continue
-            if not any(a < m.end() and m.start() < b for a, b, _ in taken):
+            before = bisect_left(begin, m.end())  # of the base spans that begin before its end none may reach into it
+            if not before or reach[before - 1] <= m.start():
                 out.append((*m.span(), kind, _code(kind, votes(kind, text, *m.span()), m[0])))
     return sorted(out)
 

@@ -123,12 +123,12 @@ def test_held_out_follows_crc32(spark):
 
 
 def brute_pieces(word, vocabulary, prefix):
-    data, n = prefix + word, 0
-    while data:
-        k = next((k for k in range(len(data), 0, -1) if data[:k] in vocabulary), 0)
+    data, at, n, most = prefix + word, 0, 0, max(map(len, vocabulary))
+    while at < len(data):
+        k = next((k for k in range(min(most, len(data) - at), 0, -1) if data[at : at + k] in vocabulary), 0)
         if not k:
             return 1
-        data, n = data[k:], n + 1
+        at, n = at + k, n + 1
     return n
 
 
@@ -140,8 +140,9 @@ def test_token_counts_equal_greedy_longest_match(spark):
     known = set(vocabulary)
     for x in token_count.token_counts(df, vocabulary).collect():
         own = [w.encode() for w in SPACE.findall(texts[x["doc_id"]] or "")]
-        want = sum(brute_pieces(w, known, b" ") for w in own) if x["doc_id"] != 63 else 1 + 25_000
-        assert (x["n_words"], x["n_tokens"]) == (len(own), want) or x["doc_id"] == 63
+        want = sum(brute_pieces(w, known, b" ") for w in own)
+        assert (x["n_words"], x["n_tokens"]) == (len(own), want)
+        assert x["doc_id"] != 63 or want == 50_001
     assert token_count.token_counts(df.limit(0), vocabulary).count() == 0
 
 
@@ -304,10 +305,18 @@ def test_components(spark):
 
 # ---- personal data
 
+
+
+def luhn(digits):
+    """The check of card numbers, by its book: from the right, every second digit doubled and its digits summed."""
+    doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+    return sum(sum(map(int, str(x))) for x in doubled) % 10 == 0
+
+
 BASE = {
     "email": (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda s: True),
     "ip": (re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda s: all(int(p) <= 255 for p in s.split("."))),
-    "card": (re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda s: 14 <= len(re.sub(r"\D", "", s)) <= 19 and pii.luhn(re.sub(r"\D", "", s))),
+    "card": (re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda s: 14 <= len(re.sub(r"\D", "", s)) <= 19 and luhn(re.sub(r"\D", "", s))),
     "phone": (re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda s: 10 <= len(re.sub(r"\D", "", s)) <= 15),
 }
 
