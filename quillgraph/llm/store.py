@@ -46,6 +46,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(*frames: DataFrame) -> None:
+    """Deletes the files of frames that came from cut_lineage and that nothing computed from here on reads: whatever was made
+    of them must have been written out itself."""
+    for df in frames:
+        files = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if files.isDefined():
+            _remove(df.sparkSession, files.get())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder as Parquet and read again; the files go when the driver's Python ends."""
     spark = df.sparkSession

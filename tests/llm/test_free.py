@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -291,6 +292,15 @@ def test_near_duplicates_share_a_class_and_others_do_not(spark):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_files_of_rounds_that_are_over_are_deleted(spark):
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = set(folder.iterdir())
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    found = near_dup.components(chain)
+    assert len(set(folder.iterdir()) - before) == 1
+    assert {tuple(x) for x in found.collect()} == {(i, 0) for i in range(41)}
+
+
 def test_components(spark):
     r = random.Random(0)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)]
