@@ -1,31 +1,19 @@
-"""python -m quillgraph ingest FOLDER OUT | serve OUT --token T [--port N]
+"""python -m quillgraph ingest FOLDER OUT [--config DIR] [--prices FILE] | serve OUT [--token T] [--port N] [--config DIR]
 
-ingest reads a folder's files into a new version of the graph below OUT and merges entities of equal normalized names;
-serve answers read-only SQL over its tables."""
+ingest takes what is new or changed in a folder into the next version of the graph below OUT; serve answers questions and
+read-only SQL over the last version. Settings come from the TOML files of a folder and from variables."""
 
 from __future__ import annotations
 
 import argparse
-import time
+from dataclasses import replace
 
-from pyspark.sql import functions as F
-
-from quillgraph.operators import graph, resolution
-from quillgraph.plans import ingest, server
+from quillgraph.plans import engine, server
+from quillgraph.plans.ingest import stub_embedder
 from quillgraph.session import session
-from quillgraph.sources import files
-from quillgraph.sources.config import Api
-
+from quillgraph.sources.config import load_config, load_pricing
 
-def resolved(rows: dict) -> dict:
-    """Entities with their mention counts, equal names merged, and edges and mentions re-pointed."""
-    entities = rows["entities"].groupBy("id", "name", "type", "normalized_name").agg(F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("aliases"), F.min("document_id").alias("first_seen"))
-    entities = entities.join(rows["mention_counts"].withColumnRenamed("entity_id", "id"), "id")
-    mapping = resolution.exact_merges(entities)
-    m = mapping.select(F.col("merged_id").alias("_m"), F.col("canonical_id").alias("_c"))
-    mentions = rows["mentions"].join(m, F.col("entity_id") == F.col("_m"), "left").select(F.coalesce("_c", "entity_id").alias("entity_id"), "chunk_id", "paragraph_id", "context").dropDuplicates(["entity_id", "chunk_id"])
-    edges = resolution.redirect(rows["relationships"].withColumn("_o", F.struct("source_id", "target_id")), mapping, "_o")
-    return rows | {"entities": resolution.absorb(entities, mapping), "mentions": mentions, "relationships": edges, "merges": mapping}
+VIEWS = ("documents", "pages", "sections", "paragraphs", "entities", "relationships", "mentions", "merges", "calls", "statistics")
 
 
 def main(args: list[str] | None = None) -> str:
@@ -34,21 +22,28 @@ def main(args: list[str] | None = None) -> str:
     a = sub.add_parser("ingest")
     a.add_argument("folder")
     a.add_argument("out")
-    a = sub.add_parser("serve")
-    a.add_argument("out")
-    a.add_argument("--token", required=True)
-    a.add_argument("--port", type=int, default=3030)
+    a.add_argument("--prices")
+    b = sub.add_parser("serve")
+    b.add_argument("out")
+    b.add_argument("--token")
+    b.add_argument("--port", type=int, default=3030)
+    for x in (a, b):
+        x.add_argument("--config")
     o = p.parse_args(args)
-    spark = session()
+    spark, config = session(), load_config(o.config)
     if o.do == "ingest":
-        found, _ = files.classify(files.discover(spark, o.folder))
-        return graph.write_graph(resolved(ingest.build(found)), o.out, f"v{time.time_ns()}")
-    whole = spark.read.json(f"{o.out}/*/_COMPLETE").agg(F.max("version")).first()[0]
-    for name in ("documents", "pages", "sections", "paragraphs", "entities", "relationships", "mentions"):
-        spark.read.parquet(f"{o.out}/{whole}/{name}").createOrReplaceTempView(name)
-    with server.create_server(spark, Api(token=o.token), port=o.port) as s:
+        return engine.run(spark, o.folder, o.out, config, prices=load_pricing(spark, o.prices) if o.prices else None)
+    version = engine.current(spark, o.out)
+    if version is None:
+        p.error(f"no graph below {o.out}")
+    at = f"{o.out}/{version}"
+    for name in VIEWS:
+        spark.read.parquet(f"{at}/{name}").createOrReplaceTempView(name)
+    embed = stub_embedder()
+    routes = server.retrieval_routes(engine.graph_tables(spark, at), lambda q: embed([q])[0], config)
+    with server.create_server(spark, replace(config.api, token=o.token or config.api.token), routes, port=o.port) as s:
         s.serve_forever()
-    return whole
+    return version
 
 
 if __name__ == "__main__":

@@ -5,6 +5,8 @@ Parquet has no MERGE, so an upsert is one aggregation over old and new rows: old
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -114,9 +116,11 @@ def mention_edges(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, mentions.groupBy("entity_id").agg(F.count("*").alias("mention_count"))
 
 
-def document_rows(doc: DataFrame, chunks: DataFrame, extractions: DataFrame) -> dict[str, DataFrame]:
+def document_rows(doc: DataFrame, chunks: DataFrame, extractions: DataFrame, filtered: Callable[[tuple[DataFrame, DataFrame]], tuple[DataFrame, DataFrame]] = lambda pair: pair) -> dict[str, DataFrame]:
     """All node and edge rows of the documents in `doc` (document_id ...): pages, sections, paragraphs, reading order,
-    entities, relationships and mentions. Every id is a hash of its key, so a second run gives the same rows."""
+    entities, relationships and mentions. Every id is a hash of its key, so a second run gives the same rows.
+
+    filtered: what becomes of the extracted (entities, relationships) before anything is built of them."""
     page = F.coalesce(F.get("pages", F.lit(0)), F.lit(1))
     heading = F.coalesce("section_title", F.try_element_at("heading_path", F.lit(-1)), F.lit(""))
     own = chunks.select("chunk_id", F.col("doc_id").alias("document_id"), F.col("seq").alias("sequence_index"), "content", "tokens", page.alias("page_number"), heading.alias("heading"), F.size("heading_path").alias("heading_level"))
@@ -125,9 +129,10 @@ def document_rows(doc: DataFrame, chunks: DataFrame, extractions: DataFrame) ->
     sections = sections.withColumn("sequence_index", F.row_number().over(Window.partitionBy("document_id").orderBy("_first")) - 1).drop("_first").withColumn("id", key_id("document_id", "page_number", "heading"))
     paragraphs = own.withColumn("id", key_id("document_id", "chunk_id")).withColumn("section_id", key_id("document_id", "page_number", "heading"))
     ents = extractions.select("chunk_id", F.posexplode("entities").alias("ord", "e")).select("chunk_id", "ord", "e.*")
+    rels = extractions.select("chunk_id", F.posexplode("relationships").alias("ord", "r")).select("chunk_id", "ord", "r.*")
+    ents, rels = filtered((ents, rels))
     placed = ents.join(own.select("chunk_id", "document_id", "sequence_index", "content"), "chunk_id").withColumn("_o", F.struct("sequence_index", "ord"))
     entities = dedupe_entities(placed, ["document_id", "name", "type"], "_o").withColumn("normalized_name", normalize_entity_name("name", "type")).withColumn("id", key_id("name", "type"))
-    rels = extractions.select("chunk_id", F.posexplode("relationships").alias("ord", "r")).select("chunk_id", "ord", "r.*")
     found, lost = resolve_endpoints(rels, ents)
     found = found.join(own.select("chunk_id", "document_id", "sequence_index"), "chunk_id")
     found = found.select(key_id("source", "source_type").alias("source_id"), "type", key_id("target", "target_type").alias("target_id"), F.when(F.col("evidence") != "", F.array("evidence")).otherwise(F.array().cast("array<string>")).alias("evidence"), F.array("document_id").alias("source_documents"), "confidence", "properties", F.struct("document_id", "sequence_index", "ord").alias("_o"))
@@ -156,6 +161,14 @@ def check_schema_sentinel(sentinel: DataFrame, model: str, paragraph_dims: int,
         raise ValueError(f"the graph holds vectors of {row['embedding_model']} ({row['paragraph_dims']}, {row['entity_dims']}), not of {model} ({paragraph_dims}, {entity_dims})")
 
 
+def run_statistics(extractions: DataFrame, entities: DataFrame, relationships: DataFrame) -> DataFrame:
+    """One row: chunks, and entities and relationships as extracted, repeats counted, beside those that were written."""
+    size = lambda c: F.coalesce(F.sum(F.coalesce(F.size(c), F.lit(0))), F.lit(0)).alias(c)
+    extracted = extractions.agg(F.count("*").alias("chunks"), size("entities"), size("relationships"))
+    written = lambda df, name: df.agg(F.count("*").alias(name))
+    return extracted.join(written(entities, "entities_written")).join(written(relationships, "relationships_written"))
+
+
 def upsert_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
     """Vectors (id, embedding, embedding_model) by id: a new row replaces the old one, whose model stays if none is given."""
     n = new.select(F.col("id").alias("_i"), F.col("embedding").alias("_v"), F.col("embedding_model").alias("_m"))

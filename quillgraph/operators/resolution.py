@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +11,7 @@ from pyspark.sql.window import Window
 from quillgraph.functions.text import entity_embedding_text, normalize_entity_name
 from quillgraph.operators.graph import ordered_distinct
 from quillgraph.operators.retrieval import blocked_pairs, similar_pairs
+from quillgraph.session import kept
 
 SIMILARITY, CANDIDATES = 0.92, 5
 #: Types that merging only harms.
@@ -65,20 +65,13 @@ def components(pairs: DataFrame) -> DataFrame:
     Every round gives each id the least root among its own and its neighbours', and then that root's root, so a chain of
     n takes about log n rounds. Each is checkpointed, so that a lost executor costs no round again; a cluster needs a
     checkpoint folder, a local session is given one."""
-    sc = pairs.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillgraph-"))
-    keep = lambda df: df.checkpoint()
-    edges = keep(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = keep(edges.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("root")).withColumnRenamed("a", "id"))
+    edges = kept(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    roots = kept(edges.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("root")).withColumnRenamed("a", "id"))
     while True:
         near = edges.join(roots.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
         step = roots.join(near, roots["id"] == near["a"]).select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         jump = roots.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        step = keep(step.join(jump, "root", "left").select("id", "was", F.least("root", F.coalesce("far", "root")).alias("root")))
+        step = kept(step.join(jump, "root", "left").select("id", "was", F.least("root", F.coalesce("far", "root")).alias("root")))
         roots = step.select("id", "root")
         if not step.where("was <> root").limit(1).count():
             return roots
@@ -98,12 +91,13 @@ def merge_log(judged_pairs: DataFrame, mapping: DataFrame, dry_run: bool = False
 
 
 def redirect(edges: DataFrame, mapping: DataFrame, order: str) -> DataFrame:
-    """Edges with both ends mapped to their canonical; edges that became equal are one, as in an upsert. Self-loops stay."""
+    """Edges with both ends mapped to their canonical; edges that became equal are one, as in an upsert, with the source
+    documents of all where edges have them. Self-loops stay."""
     m = mapping.select(F.col("merged_id").alias("_m"), F.col("canonical_id").alias("_c"))
     out = edges.join(m, F.col("source_id") == F.col("_m"), "left").withColumn("source_id", F.coalesce("_c", "source_id")).drop("_m", "_c")
     out = out.join(m, F.col("target_id") == F.col("_m"), "left").withColumn("target_id", F.coalesce("_c", "target_id")).drop("_m", "_c")
-    items = F.struct(F.col(order).alias("ord"), F.col("evidence").alias("items"))
-    return out.groupBy("source_id", "type", "target_id").agg(ordered_distinct(F.collect_list(items)).alias("evidence"), F.max("confidence").alias("confidence"))
+    listed = [ordered_distinct(F.collect_list(F.struct(F.col(order).alias("ord"), F.col(c).alias("items")))).alias(c) for c in ("evidence", "source_documents") if c in edges.columns]
+    return out.groupBy("source_id", "type", "target_id").agg(*listed, F.max("confidence").alias("confidence"))
 
 
 def absorb(entities: DataFrame, mapping: DataFrame) -> DataFrame:

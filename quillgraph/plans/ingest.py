@@ -1,4 +1,4 @@
-"""Files to graph: parse, chunk, extract, embed and build rows, as one lazy plan."""
+"""Model calls of the ingest: extraction and embedding, with retries, and stand-ins for the models."""
 
 from __future__ import annotations
 
@@ -9,14 +9,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quillgraph.functions.text import chunk_embedding_text, key_id
-from quillgraph.operators import graph
-from quillgraph.operators.sections import ChunkOptions, chunk_documents
-from quillgraph.plans.plugins import PluginManager
-from quillgraph.schemas import EXTRACTIONS
-from quillgraph.sources import files
+from quillgraph.schemas import EXTRACTED
 
 Extractor = Callable[[str, list[str]], dict]
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -62,14 +56,15 @@ def stub_embedder(dims: int = 64) -> Embedder:
 
 
 def extract(chunks: DataFrame, extractor: Extractor = stub_extractor) -> DataFrame:
-    """schemas.EXTRACTIONS of chunks; calls are made one after the other in each task and tried again where that may help."""
+    """schemas.EXTRACTED of chunks; calls are made one after the other in each task and tried again where that may help. An
+    extractor may tell model, input_tokens and output_tokens; if not, a token is four characters of the text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [{"chunk_id": c, **with_retries(lambda: extractor(t, list(p)))} for c, t, p in zip(frame["chunk_id"], frame["content"], frame["heading_path"])]
-            yield pd.DataFrame(rows, columns=["chunk_id", "entities", "relationships", "confidence"])
+            rows = [{"chunk_id": c, "model": None, "input_tokens": -(-len(t) // 4), "output_tokens": 0, **with_retries(lambda: extractor(t, list(p)))} for c, t, p in zip(frame["chunk_id"], frame["content"], frame["heading_path"])]
+            yield pd.DataFrame(rows, columns=["chunk_id", "entities", "relationships", "confidence", "model", "input_tokens", "output_tokens"])
 
-    return chunks.select("chunk_id", "content", "heading_path").mapInPandas(run, EXTRACTIONS)
+    return chunks.select("chunk_id", "content", "heading_path").mapInPandas(run, EXTRACTED)
 
 
 def embed(rows: DataFrame, embedder: Embedder, dims: int, id_col: str, text_col: str, batch: int = 100) -> DataFrame:
@@ -86,20 +81,3 @@ def embed(rows: DataFrame, embedder: Embedder, dims: int, id_col: str, text_col:
                 yield pd.DataFrame({"id": part[id_col].to_numpy(), "embedding": vectors})
 
     return rows.select(id_col, text_col).mapInPandas(run, "id string, embedding array<float>")
-
-
-def build(found: DataFrame, extractor: Extractor = stub_extractor, embedder: Embedder | None = None, dims: int = 64, options: ChunkOptions = ChunkOptions(), plugins: PluginManager | None = None) -> dict[str, DataFrame]:
-    """All graph rows of classified files, paragraph vectors among them, and `errors`, the files that couldn't be parsed."""
-    plugins = plugins or PluginManager()
-    found = plugins.run("files_discovered", found)
-    parsed = files.parse(found)
-    docs = found.drop("content").join(parsed.where("error is null").select("path", "title", "author", "page_count", "word_count"), "path")
-    docs = plugins.run("documents_parsed", docs).withColumn("document_id", key_id("content_hash"))
-    sections = files.sections(parsed.join(docs.select("path", "document_id"), "path"), "document_id")
-    chunks = chunk_documents(sections, options)
-    extractions = extract(chunks, extractor)
-    rows = graph.document_rows(docs, chunks, extractions)
-    texts = chunks.select("chunk_id", chunk_embedding_text(F.col("heading_path"), F.col("content")).alias("text"))
-    rows["vectors"] = embed(texts, embedder or stub_embedder(dims), dims, "chunk_id", "text")
-    rows["errors"] = parsed.where("error is not null").select("path", "error")
-    return rows

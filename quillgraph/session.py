@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "quillgraph", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -14,3 +16,15 @@ def session(name: str = "quillgraph", master: str | None = None, partitions: int
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", partitions)
     return b.getOrCreate()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and checkpointed, so that a lost executor costs no model call or round again. A cluster needs a
+    checkpoint folder that all share; a local session is given one."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillgraph-"))
+    return df.checkpoint()

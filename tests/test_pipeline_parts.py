@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators.sections import ChunkOptions, chunk_documents, chunk_sections, lines, paragraphs
-from quillgraph.plans import answers, guard, ingest, plugins, server
+from quillgraph.plans import answers, engine, guard, ingest, plugins, server
 from quillgraph.schemas import SECTIONS
 from quillgraph.sources import config, files, office
 from quillgraph.streaming import ingest as streaming
@@ -108,19 +108,7 @@ def folder(tmp_path_factory):
     return root
 
 
-def test_files_to_graph(spark, folder, tmp_path):
-    found, rejected = files.classify(files.discover(spark, str(folder)))
-    assert sorted(r["relative_path"] for r in found.collect()) == ["a/one.docx", "bad.xlsx", "two.PPTX"] and rejected.count() == 0
-    rows = ingest.build(found)
-    assert rows["documents"].count() == 2 and [r["path"].endswith("bad.xlsx") for r in rows["errors"].collect()] == [True]
-    assert {r["name"] for r in rows["entities"].collect()} == {"Acme Corp", "Jane Wilson"}
-    assert [r["type"] for r in rows["relationships"].collect()] == ["RELATED_TO"]
-    assert rows["mentions"].count() == 2 and rows["vectors"].count() == rows["paragraphs"].count()
-    assert rows["paragraph_order"].count() == rows["paragraphs"].count() - 2
-    from quillgraph.operators.graph import write_graph
-
-    at = write_graph({k: rows[k] for k in ("entities", "paragraphs")}, str(tmp_path / "g"), "v1")
-    assert spark.read.parquet(f"{at}/entities").count() == 2 and spark.read.json(f"{at}/_COMPLETE").first()["version"] == "v1"
+def test_model_calls(spark):
     with pytest.raises(Exception, match="dimensions"):
         ingest.embed(spark.createDataFrame([("a", "b")], "chunk_id string, text string"), lambda t: [[0.0]], 2, "chunk_id", "text").collect()
     tries = []
@@ -137,8 +125,122 @@ def test_files_to_graph(spark, folder, tmp_path):
 def test_command_line_writes_a_graph(spark, folder, tmp_path):
     from quillgraph.__main__ import main
 
-    at = main(["ingest", str(folder), str(tmp_path / "out")])
+    (tmp_path / "p.toml").write_text('[models."stub"]\ninput_per_million = 1.0\n')
+    at = main(["ingest", str(folder), str(tmp_path / "out"), "--prices", str(tmp_path / "p.toml")])
     assert spark.read.parquet(f"{at}/entities").count() == 2 and spark.read.parquet(f"{at}/mentions").count() == 2
+    assert spark.read.parquet(f"{at}/calls").where("cost_usd > 0").count() > 0
+
+
+class Watch:
+    """Tells which hooks ran on which documents."""
+
+    name = "watch"
+
+    def __init__(self):
+        self.seen = {}
+
+    def _take(self, hook, rows):
+        self.seen[hook] = sorted(r["relative_path"] for r in rows.collect())
+
+    def files_discovered(self, rows):
+        self._take("found", rows)
+
+    def entities_extracted(self, rows):
+        self.seen["extracted"] = rows[0].count()
+
+    def documents_completed(self, rows):
+        self._take("done", rows)
+
+    def documents_removed(self, rows):
+        self._take("gone", rows)
+
+
+def paragraph_docx(text):
+    return packed(**{"word__document.xml": f"<w:document {W}><w:body><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:body></w:document>"})
+
+
+def test_two_runs_and_a_question(spark, folder, tmp_path):
+    """The second run keeps what the first found, pays for nothing twice, follows changed files and answers over both."""
+    root, out = tmp_path / "in", str(tmp_path / "graph")
+    root.mkdir()
+    (root / "one.docx").write_bytes(paragraph_docx("Acme Steel Works met Jane Wilson"))
+    (root / "copy.docx").write_bytes(paragraph_docx("Acme Steel Works met Jane Wilson"))
+    (root / "two.docx").write_bytes(paragraph_docx("then Blue River talked"))
+    (root / "bad.docx").write_bytes(b"broken")
+    watch, cost = Watch(), plugins.CostReporter()
+    hooks = plugins.PluginManager().register(watch).register(plugins.ConfidenceFilter()).register(plugins.DomainTagger([("*", "top")])).register(cost)
+    prices = spark.createDataFrame([("stub", 1.0, 1.0)], engine.PRICES)
+    at = engine.run(spark, str(root), out, plugins=hooks, prices=prices)
+    t = lambda name: spark.read.parquet(f"{at}/{name}")
+    assert watch.seen["done"] == ["copy.docx", "two.docx"] and "gone" not in watch.seen and watch.seen["extracted"] == 3
+    assert {r["properties"]["domain"] for r in t("documents").collect()} == {"top"} and t("errors").count() == 1
+    assert t("statistics").first().asDict() == {"chunks": 2, "entities": 3, "relationships": 1, "entities_written": 3, "relationships_written": 1}
+    assert t("entity_vectors").count() == 3 and t("vectors").count() == t("paragraphs").count() == 2
+    assert cost.report["totals"][("total", "")] > 0
+
+    (root / "two.docx").write_bytes(paragraph_docx("now Acme Steel Work talked to Green Hill"))
+    asked = tmp_path / "asked"
+
+    def counting(text, path):
+        with open(asked, "a") as f:
+            f.write(text + "\n")
+        return ingest.stub_extractor(text, path)
+
+    at = engine.run(spark, str(root), out, plugins=hooks, models=engine.Models(extractor=counting))
+    assert asked.read_text().splitlines() == ["now Acme Steel Work talked to Green Hill"]
+    assert watch.seen["done"] == watch.seen["gone"] == ["two.docx"] and t("documents").count() == 2
+    # The judge merges two names that share a word in two, if their vectors are near; nothing of the old file is left.
+    names = {r["name"]: r["aliases"] for r in t("entities").collect()}
+    assert "Blue River" not in names and {"Jane Wilson", "Green Hill"} <= set(names)
+    ids = {r["id"] for r in t("entities").collect()}
+    assert {r["entity_id"] for r in t("mentions").collect()} == ids and t("calls").count() == 6
+    with pytest.raises(ValueError, match="vectors"):
+        engine.run(spark, str(root), out, models=engine.Models(dims=8))
+    routes = server.retrieval_routes(engine.graph_tables(spark, at), lambda q: ingest.stub_embedder()([q])[0], config.Config())
+    found = routes["/api/v1/rag"]({"question": "who met Jane Wilson"})
+    assert found["sources"] and found["answer"]
+    hill = [r["id"] for r in t("paragraphs").where("content like '%Green Hill'").collect()]
+    assert len(hill) == 1 and hill[0] in {x["id"] for x in routes["/api/v1/hybrid-search"]({"question": "Green Hill"})["paragraphs"]}
+
+
+def test_budget_stops_the_run_and_the_next_goes_on(spark, tmp_path):
+    root, out = tmp_path / "in", str(tmp_path / "graph")
+    root.mkdir()
+    for i in range(6):
+        (root / f"{i}.docx").write_bytes(paragraph_docx(f"number {i} of Acme Corp"))
+    prices = spark.createDataFrame([("big", 1e6, 0.0)], engine.PRICES)
+    models = engine.Models(extractor=lambda t, p: ingest.stub_extractor(t, p) | {"model": "big", "input_tokens": 1, "output_tokens": 0})
+    at = engine.run(spark, str(root), out, config.Config(cost=config.Cost(budget_per_run=1.0)), models=models, prices=prices)
+    some = spark.read.parquet(f"{at}/documents").count()
+    assert 1 <= some < 6 and spark.read.parquet(f"{at}/extractions").count() == some
+    at = engine.run(spark, str(root), out, models=models, prices=prices)
+    assert spark.read.parquet(f"{at}/documents").count() == 6 == spark.read.parquet(f"{at}/extractions").count()
+    assert spark.read.parquet(f"{at}/entities").first()["mention_count"] == 6
+
+
+def test_similar_entities_merge_once(spark):
+    """Near names merge by the judge, the log keeps rejected pairs, canonicals get a new vector, and a dry run only logs."""
+    texts = []
+
+    def embedder(rows):
+        texts.extend(rows)
+        return [[1.0, 0.001 * (i % 3)] for i in range(len(rows))]
+
+    docs = spark.createDataFrame([("d", 5)], "document_id string, processed_at long")
+    ents = spark.createDataFrame([("e1", "Blue River", "Org", "blue river"), ("e2", "Blue River Bank", "Org", "blue river bank"), ("e3", "Green Hill", "Org", "green hill")], "id string, name string, type string, normalized_name string").withColumn("document_id", F.lit("d")).withColumn("aliases", F.array().cast("array<string>"))
+    rows = {"documents": docs, "entities": ents, "mention_counts": spark.createDataFrame([("e1", 3), ("e2", 1), ("e3", 1)], "entity_id string, mention_count long"),
+        "mentions": spark.createDataFrame([(e, f"c{e}", f"p{e}", f"text of {e}") for e in ("e1", "e2", "e3")], "entity_id string, chunk_id string, paragraph_id string, context string"),
+        "relationships": spark.createDataFrame([("e2", "KNOWS", "e3", ["seen"], ["d"], 0.9)], "source_id string, type string, target_id string, evidence array<string>, source_documents array<string>, confidence double")}
+    models = engine.Models(embedder=embedder, dims=2, embedding_model="m")
+    out = engine.resolve(rows, models)
+    assert {r["name"]: r["aliases"] for r in out["entities"].collect()} == {"Blue River": ["Blue River Bank"], "Green Hill": []}
+    assert {(r["decision"], r["applied"]) for r in out["merges"].collect()} == {("same", True), ("different", False)} and out["merges"].count() == 3
+    assert [(r["source_id"], r["source_documents"]) for r in out["relationships"].collect()] == [("e1", ["d"])]
+    assert sorted(r["entity_id"] for r in out["mentions"].collect()) == ["e1", "e1", "e3"]
+    again = engine.resolve(rows, models, vectors=out["entity_vectors"], merges=out["merges"])
+    assert again["entities"].count() == 2 and again["merges"].count() == 3
+    dry = engine.resolve(rows, models, dry_run=True)
+    assert dry["entities"].count() == 3 and dry["merges"].where("applied").count() == 0 and dry["merges"].count() == 3
 
 
 def test_stream_takes_each_file_once(spark, folder, tmp_path):
