@@ -105,12 +105,33 @@ def slide_number(path: Column | str) -> Column:
     return F.coalesce(F.regexp_extract(col(path), r"slide(\d+)\.xml$", 1).try_cast("int"), F.lit(0))
 
 
+def tsv_cell(c: Column | str) -> Column:
+    """Empty for null, the day for timestamps at midnight UTC; nothing is quoted."""
+    return F.coalesce(F.regexp_replace(col(c).cast("string"), r"^(\d{4}-\d{2}-\d{2})[ T]00:00:00(?:\.0+)?Z?$", "$1"), F.lit(""))
+
+
 def csv_cell(c: Column | str) -> Column:
-    """Empty for null, the day for timestamps at midnight UTC, quoted where a comma, quote or line end is inside."""
-    s = F.coalesce(F.regexp_replace(col(c).cast("string"), r"^(\d{4}-\d{2}-\d{2})[ T]00:00:00(?:\.0+)?Z?$", "$1"), F.lit(""))
+    """tsv_cell, quoted where a comma, quote or line end is inside."""
+    s = tsv_cell(c)
     return F.when(s.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
 
 
+def table_text(rows: Column | str, sep: str = ",") -> Column:
+    """A table, an array of arrays of strings, as lines of comma-separated cells or, with another `sep`, of bare ones."""
+    cell = csv_cell if sep == "," else tsv_cell
+    return F.array_join(F.transform(col(rows), lambda row: F.array_join(F.transform(row, cell), sep)), "\n")
+
+
+def properties_json(c: Column | str) -> Column:
+    """Properties (a map) as JSON; null is an empty object."""
+    return F.coalesce(F.to_json(col(c)), F.lit("{}"))
+
+
+def properties_of(c: Column | str) -> Column:
+    """Properties from JSON; what is no object of JSON gives null, and values that are no strings their JSON."""
+    return F.from_json(col(c), "map<string,string>")
+
+
 def orphan_citations(answer: Column | str, allowed: Column) -> Column:
     """Distinct [n] of an answer that name no allowed key, ascending."""
     cited = F.transform(F.regexp_extract_all(col(answer), F.lit(r"\[(\d+)\]"), 1), lambda x: x.cast("int"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 from quillgraph.functions.text import collapse_whitespace
 from quillgraph.schemas import CHUNKS
 
+log = logging.getLogger(__name__)
 HEADING_CHARS = 80
 
 
@@ -98,32 +100,39 @@ def chunk_sections(rows: list[dict], o: ChunkOptions) -> Iterator[dict]:
     cross sections, but for a tail below the minimum that moves into the next; tables stand alone."""
     path: list[tuple[int, str]] = []
     out: list[dict] = []
-    carry = ""
+    carry: str = ""
+    carried: list[int] = []
     for n, row in enumerate(rows):
         text = (row["content"] or "").strip()
         if row["heading"]:
             level = row["heading_level"] or 1
             path = [(lv, h) for lv, h in path if lv < level] + [(level, row["heading"])]
-        if carry:
-            text, carry = f"{carry}\n\n{text}" if text else carry, ""
+        here = [] if row["page_number"] is None else [int(row["page_number"])]
+        parts = [(carry, carried), (text, here)]
+        text, carry, carried = "\n\n".join(x for x, _ in parts if x), "", []
         if not text:
             continue
         made: list[list[str]] = []
+        pages: list[set[int]] = []
         if _is_table(text):
-            made, kind = [[text]], "table"
+            made, kind, pages = [[text]], "table", [{p for x, on in parts if x for p in on}]
+            if _tokens(text) > o.maximum:
+                log.warning("a table of %d tokens is one chunk, above the maximum of %d", _tokens(text), o.maximum)
         else:
             kind = "text"
             budget = max(1, o.target - o.overlap)
             used = 0
-            for piece in (q for p in re.split(r"\n\s*\n", text) if p.strip() for q in _pieces(p.strip(), budget)):
+            for piece, on in ((q, on) for x, on in parts for p in re.split(r"\n\s*\n", x) if p.strip() for q in _pieces(p.strip(), budget)):
                 if not made or used + _tokens(piece) > budget:
                     made.append([])
+                    pages.append(set())
                     used = 0
                 made[-1].append(piece)
+                pages[-1].update(on)
                 used += _tokens(piece)
         bodies = ["\n\n".join(m) for m in made]
         if kind == "text" and o.minimum and n + 1 < len(rows) and _tokens(bodies[-1]) < o.minimum:
-            carry = bodies.pop()
+            carry, carried = bodies.pop(), sorted(pages.pop())
         for i, body in enumerate(bodies):
             lead = ""
             if i and o.overlap and kind == "text":
@@ -132,9 +141,9 @@ def chunk_sections(rows: list[dict], o: ChunkOptions) -> Iterator[dict]:
                         break
                     lead = f"{s} {lead}".strip()
             content = f"{lead} {body}" if lead else body
-            out.append({"content": content, "heading_path": [h for _, h in path], "pages": [] if row["page_number"] is None else [int(row["page_number"])], "tokens": _tokens(content), "kind": kind, "section_title": path[-1][1] if path else None, "first_in_section": i == 0, "last_in_section": i == len(bodies) - 1, "overlap": lead or None})
+            out.append({"content": content, "heading_path": [h for _, h in path], "pages": sorted(pages[i]), "tokens": _tokens(content), "kind": kind, "section_title": path[-1][1] if path else None, "first_in_section": i == 0, "last_in_section": i == len(bodies) - 1, "overlap": lead or None})
     if carry:
-        out.append({"content": carry, "heading_path": [h for _, h in path], "pages": [], "tokens": _tokens(carry), "kind": "text", "section_title": path[-1][1] if path else None, "first_in_section": True, "last_in_section": True, "overlap": None})
+        out.append({"content": carry, "heading_path": [h for _, h in path], "pages": carried, "tokens": _tokens(carry), "kind": "text", "section_title": path[-1][1] if path else None, "first_in_section": True, "last_in_section": True, "overlap": None})
     for seq, c in enumerate(out):
         yield c | {"seq": seq}
 

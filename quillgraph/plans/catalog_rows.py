@@ -282,3 +282,31 @@ def costs_by_window(spark, d):
 @query("SELECT doc_id, sha256(coalesce(source, chr(2)) || chr(1) || CAST(doc_id AS VARCHAR)) AS id, substring(sha256(source), 1, 12) AS query_hash FROM documents")
 def ids_from_keys(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.key_id("source", "doc_id").alias("id"), X.query_hash("source").alias("query_hash"))
+
+
+@query("""WITH c AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+  SELECT (SELECT count(*) FROM c) AS chunks, (SELECT 2 * count(*) FROM c) AS entities, (SELECT count(*) FROM c WHERE turn > 0) AS relationships,
+  (SELECT count(DISTINCT role) FROM c) AS entities_written, (SELECT count(DISTINCT turn) FROM c WHERE turn > 0) AS relationships_written""")
+def run_statistics(spark, d):
+    own = _t(spark, d, "conversations").select("conv_id", "turn", "role", "text").distinct()
+    none = F.array().cast("array<bigint>")
+    extractions = own.select(F.array("role", "role").alias("entities"), F.when(F.col("turn") > 0, F.array(F.col("turn").cast("bigint"))).otherwise(none).alias("relationships"))
+    kinds = extractions.select(F.explode("relationships").alias("r")).distinct()
+    return graph.run_statistics(extractions, extractions.select(F.explode("entities").alias("e")).distinct(), kinds)
+
+
+@query("""SELECT conv_id, string_agg(CASE WHEN text LIKE '%,%' OR text LIKE '%"%' OR contains(text, chr(10)) THEN '"' || replace(text, '"', '""') || '"' ELSE coalesce(text, '') END || ',' || role, chr(10) ORDER BY turn, role, text) AS csv,
+  string_agg(coalesce(text, '') || chr(9) || role, chr(10) ORDER BY turn, role, text) AS tsv FROM conversations GROUP BY conv_id""")
+def tables_rendered(spark, d):
+    row = F.struct("turn", "role", "text")
+    own = _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    own = own.select("conv_id", F.transform("rows", lambda r: F.array(r["text"], r["role"])).alias("rows"))
+    return own.select("conv_id", X.table_text("rows").alias("csv"), X.table_text("rows", "\t").alias("tsv"))
+
+
+@query("""SELECT c_custkey AS id, '{"segment":"' || c_mktsegment || '","nation":"' || c_nationkey || '"}' AS properties, CAST(c_nationkey AS VARCHAR) AS nation, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS segment FROM customer""")
+def properties_round_trip(spark, d):
+    own = _t(spark, d, "customer").withColumn("p", F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("nation"), F.col("c_nationkey").cast("string")))
+    own = own.select("c_custkey", X.properties_json("p").alias("properties"))
+    broken = F.when(F.col("c_custkey") % 2 == 0, F.col("properties")).otherwise(F.lit("no json"))
+    return own.select(F.col("c_custkey").alias("id"), "properties", X.properties_of("properties")["nation"].alias("nation"), X.properties_of(broken)["segment"].alias("segment"))

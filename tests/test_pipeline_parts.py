@@ -42,6 +42,17 @@ def test_chunks():
     assert [c["content"] for c in merged] == ["tiny.\n\nnext one."]
 
 
+def test_chunks_name_the_pages_they_touch(caplog):
+    rows = [section("tiny.", page=3), section("", page=4), section("next one.", page=5)]
+    assert [c["pages"] for c in chunk_sections(rows, ChunkOptions(100, 10, minimum=20))] == [[3, 5]]
+    # The tail fills the budget with nothing of the next section, so it stays on its own page.
+    assert [(c["content"], c["pages"]) for c in chunk_sections([section("tiny.", page=1), section("word " * 7 + "end", page=2)], ChunkOptions(10, 0, minimum=5))] == [("tiny.", [1]), ("word " * 7 + "end", [2])]
+    assert [c["pages"] for c in chunk_sections([section("one.", page=1), section("two.", page=2), section("three.")], ChunkOptions(100, 10, minimum=20))] == [[1, 2]]
+    assert not caplog.records
+    table = "\n".join("a\tb" for _ in range(40))
+    assert [c["kind"] for c in chunk_sections([section(table)], ChunkOptions(20, 5, maximum=30))] == ["table"] and "maximum" in caplog.text
+
+
 def test_chunk_ids_repeat(spark):
     df = spark.createDataFrame([("d", 0, "H", 1, "", None), ("d", 1, None, 0, "text here", 1), ("e", 0, None, 0, "more", None)], SECTIONS)
     one = lambda: sorted((r["doc_id"], r["seq"], r["chunk_id"]) for r in chunk_documents(df).collect())
