@@ -21,8 +21,15 @@ AGREEING = 4
 BROADCAST_IDS = 500_000
 #: Texts that are aligned to one copy of a centre.
 FAN = 64
-#: Centres of a sketch whose texts are of several classes, and texts of a sketch of which all pairs are compared.
+#: Centres of a sketch whose texts are of several classes, and texts of a sketch whose pairs are listed one by one; texts of
+#: larger ones are looked up by their rarest words.
 CENTRES, SMALL = 4, 64
+#: Slots that words are counted in to tell the rare ones, as a power of two, and texts of a word that are held against each other at once.
+SLOT_BITS, DEALT = 19, 4000
+#: Most numbers of parities that go with a word of a text, for texts of a thousand words and more: four buckets or more a word in shorter ones.
+WIDEST = 64
+#: Pairs whose parities are compared at once.
+PAIRS_AT_ONCE = 20_000
 #: Groups of 64 buckets of words whose counts' parities are kept of a text: the least, and how often they are doubled
 #: for longer texts.
 PARITIES, DOUBLED = 8, 5
@@ -194,12 +201,33 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 def parities(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     """Per text, whether each of 64 * p buckets of words has an odd number of them, packed into p numbers; p grows with
-    the text. The halves of a longer one xored are the shorter one."""
+    the text. The halves of a longer one xored are the shorter one. Of words whose hashes are made different for each time
+    that a text has them, as here, an edit changes two at most, and repeated ones don't cancel out."""
     out = []
     for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
         p = PARITIES << min(DOUBLED, max(0, ((hi - lo) // (64 * PARITIES)).bit_length()))
-        slot = (hashes[lo:hi] & U(64 * p - 1)).astype(np.int64)
-        out.append(np.packbits(np.bincount(slot, minlength=64 * p).astype(np.uint8) & 1).view(np.int64))
+        out.append(_parity(hashes[lo:hi], p))
+    return out
+
+
+def _parity(hashes: np.ndarray, p: int) -> np.ndarray:
+    n = np.bincount((hashes & U(64 * p - 1)).astype(np.int64), minlength=64 * p)
+    return np.packbits((n & 1).astype(np.uint8)).view(np.int64)
+
+
+def changed(odd: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many buckets the parities of texts a[k] and b[k] differ, in as many buckets as both have. A text's begin at
+    first of odd."""
+    out, wide = np.zeros(len(a), np.int64), np.diff(first)
+    least = np.minimum(wide[a], wide[b])
+    for p in np.unique(least).tolist():
+        pairs, row, parts = np.flatnonzero(least == p), np.zeros(len(wide), np.int64), []
+        for w in np.unique(wide[wide >= p]).tolist():
+            own = np.flatnonzero(wide == w)
+            row[own] = np.arange(len(own)) + sum(map(len, parts))
+            parts.append(np.bitwise_xor.reduce(odd[first[own][:, None] + np.arange(w)].reshape(len(own), w // p, p), axis=1))
+        folded = np.concatenate(parts)
+        out[pairs] = np.bitwise_count(folded[row[a[pairs]]] ^ folded[row[b[pairs]]]).sum(1, dtype=np.int64)
     return out
 
 
@@ -215,7 +243,7 @@ def _sketch_rows(count: int):
                 starts, ends, first = words(data, offsets)
                 h = word_hashes(data, starts, ends)
                 rows, keys, mins = text_sketches(h, first, count)
-                odd = parities(h, first)
+                odd = parities(occurrence_labelled(h, np.repeat(np.arange(part.num_rows), np.diff(first))), first)
                 there = np.zeros(part.num_rows + 1, np.int64)
                 there[rows + 1] = 1
                 there = np.cumsum(there)
@@ -279,6 +307,130 @@ def components(links: DataFrame, one: str = "a", other: str = "b") -> DataFrame:
     return links.select(F.col("b").alias("id"), F.col("a").alias("class")).unionByName(links.select(F.col("a").alias("id"), F.col("a").alias("class")).distinct())
 
 
+def _words_of_texts(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, different for the first, second ... time that a text has a word; text of each; where each text begins)
+    of a batch."""
+    data, offsets = text_bytes(part.column("text"))
+    starts, ends, first = words(data, offsets)
+    doc = np.repeat(np.arange(part.num_rows), np.diff(first))
+    return occurrence_labelled(word_hashes(data, starts, ends), doc), doc, first
+
+
+def _slot(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> U(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            tokens, doc, _ = _words_of_texts(part)
+            slot, label = _slot(tokens), part.column("label").to_numpy()[doc]
+            order = np.argsort(slot, kind="stable")
+            own, first = np.unique(slot[order], return_index=True)
+            n = np.diff(np.append(first, len(slot)))
+            lo, hi = (f.reduceat(label[order], first) if len(first) else label for f in (np.minimum, np.maximum))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (own, n, lo, hi)], ["slot", "n", "lo", "hi"])
+
+
+def rarest(tokens: np.ndarray, doc: np.ndarray, first: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """Which tokens are the rarest of their text, one more than the edits that a similar text may be apart. Of two similar
+    texts no more tokens than that lack a partner, on either side, and the order by common[slot] and hash is the same for all
+    texts, so that they have one of these in common."""
+    order = np.lexsort((tokens, common[_slot(tokens)], doc))
+    most = np.floor((1 - similarity) * np.diff(first) + 1e-9).astype(np.int64) + 1
+    return order[np.arange(len(tokens)) - first[:-1][doc] < most[doc]]
+
+
+def _rare_rows(similarity: float, dealt: int, sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, mixed = sent.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                tokens, doc, first = _words_of_texts(part)
+                at = rarest(tokens, doc, first, common, similarity)
+                slot = _slot(tokens[at])
+                at, slot = at[mixed[slot]], slot[mixed[slot]]
+                odd = [_parity(tokens[lo:hi], min(WIDEST, max(PARITIES, 1 << ((hi - lo) // 16).bit_length()))) for lo, hi in zip(first[:-1].tolist(), first[1:].tolist())]
+                ends = np.append(0, np.cumsum(np.bincount(doc[at], minlength=part.num_rows)))
+                lists = [_listed(np.concatenate(odd), np.append(0, np.cumsum([len(x) for x in odd]))), _listed(tokens[at].astype(np.int64), ends), _listed(-(-common[slot] // dealt), ends)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(first), pa.int64()), *lists], ["text_id", "size", "odd", "w", "blocks"])
+
+    return run
+
+
+def _rare_words(bodies: DataFrame, similarity: float) -> DataFrame:
+    """(text_id, size, odd: parities, w: the rarest words, blocks: how many each word's texts are dealt out in) of bodies (id,
+    text, label: a number of the class). Words are counted in slots; those of slots whose texts are all of one class are left out of w."""
+    kind = bodies.schema["id"].dataType.simpleString()
+    seen = bodies.select("text", "label").mapInArrow(_counted, "slot long, n long, lo long, hi long").groupBy("slot").agg(F.sum("n").alias("n"), (F.min("lo") < F.max("hi")).alias("mixed")).toArrow()
+    common, mixed = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, bool)
+    common[seen["slot"].to_numpy()], mixed[seen["slot"].to_numpy()] = seen["n"].to_numpy(), seen["mixed"].to_numpy()
+    sent = bodies.sparkSession.sparkContext.broadcast((common, mixed))
+    return cut_lineage(bodies.select("id", "text").mapInArrow(_rare_rows(similarity, DEALT, sent), f"text_id {kind}, size long, odd array<long>, w array<long>, blocks array<long>"))
+
+
+def _met(similarity: float, count: int):
+    """Rows come word by word (w, i, j); the pairs leave, with the numbers of their classes, whose classes differ and whose
+    sizes, first minima and parities allow a link. i, j: the blocks of a word's texts that are held against each other."""
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        w, i, j, block, h, label, size = (rows[x].to_numpy() for x in ("w", "i", "j", "block", "h", "label", "size"))
+        mins, odd = (rows[x].combine_chunks() for x in ("mins", "odd"))
+        mins = mins.flatten().to_numpy().reshape(len(w), -1).view(np.uint8)
+        first, odd = np.append(0, np.cumsum(pa.compute.list_value_length(odd).to_numpy())), odd.flatten().to_numpy().view(U)
+        begin = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        end = np.repeat(np.append(begin[1:], len(w)), np.diff(np.append(begin, len(w))))
+        at, apart, late = np.arange(len(w)), 0, [(np.zeros(0, np.int64),) * 3]
+        while len(at):
+            apart += 1
+            at = at[at + apart < end[at]]
+            c, m = at, at + apart
+            ok = (label[c] != label[m]) & ((i[c] == j[c]) | (block[c] != block[m]))
+            c, m = c[ok], m[ok]
+            edits = np.floor((1 - similarity) * np.maximum(size[c], size[m]) + 1e-9)
+            longer = np.abs(size[c] - size[m])
+            ok = longer <= edits
+            c, m, most = c[ok], m[ok], (2 * edits - longer)[ok]
+            ok = (mins[c] != mins[m]).sum(1) <= count - AGREEING
+            late.append((c[ok], m[ok], most[ok]))
+        c, m, most = (np.concatenate(x) for x in zip(*late))
+        ok = np.concatenate([np.zeros(0, bool), *(changed(odd, first, c[lo : lo + PAIRS_AT_ONCE], m[lo : lo + PAIRS_AT_ONCE]) <= most[lo : lo + PAIRS_AT_ONCE] for lo in range(0, len(c), PAIRS_AT_ONCE))])
+        c, m = c[ok], m[ok]
+        c, m = np.where(h[c] > h[m], m, c), np.where(h[c] > h[m], c, m)
+        one = np.unique(np.stack((h[c], h[m]), axis=1), axis=0, return_index=True)[1]
+        c, m, ids = c[one], m[one], rows["text_id"].combine_chunks()
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(c)), ids.take(pa.array(m)), pa.array(np.minimum(label[c], label[m])), pa.array(np.maximum(label[c], label[m]))], ["c", "m", "lo", "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            key = np.stack([rows[x].to_numpy() for x in ("w", "i", "j")])
+            # The last word may go on in the next batch.
+            before = np.flatnonzero((key != key[:, -1:]).any(0)) if rows.num_rows else np.zeros(0, np.int64)
+            whole = int(before[-1]) + 1 if len(before) else 0
+            if whole:
+                yield pairs(rows.slice(0, whole))
+            rest = rows.slice(whole).combine_chunks()
+        if rest is not None and rest.num_rows:
+            yield pairs(rest)
+
+    return run
+
+
+def _by_words(rare: DataFrame, texts: DataFrame, classes: DataFrame, similarity: float, count: int) -> DataFrame:
+    """(c, m, lo, hi: numbers of their classes): the pairs of texts in `rare` that share one of their rarest words, are of different classes and may be linked.
+    The texts of a frequent word are dealt out in blocks, and every two blocks are held against each other."""
+    labelled = rare.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left").join(texts.select("text_id", "mins"), "text_id")
+    words_of = labelled.select("text_id", F.xxhash64("text_id").alias("h"), F.xxhash64(F.coalesce("class", "text_id")).alias("label"), "size", "mins", "odd", F.arrays_zip("w", "blocks").alias("xs"))
+    # Dealt anew, as texts of many words may stand together.
+    words_of = words_of.repartition("text_id").select("text_id", "h", "label", "size", "mins", "odd", F.explode("xs").alias("x")).select("*", "x.w", "x.blocks", F.pmod(F.xxhash64("text_id", "x.w"), F.col("x.blocks")).alias("block"))
+    dealt = words_of.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("w", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "text_id", "h", "label", "size", "mins", "odd")
+    kind = rare.schema["text_id"].dataType.simpleString()
+    return dealt.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j").mapInArrow(_met(similarity, count), f"c {kind}, m {kind}, lo long, hi long").distinct()
+
+
 def _disagreeing(x: Column, y: Column) -> Column:
     """How many bytes of two numbers differ."""
     v = x.bitwiseXOR(y)
@@ -298,12 +450,17 @@ def _edits(similarity: float, x: str, y: str) -> Column:
 
 
 def _may_align(similarity: float) -> Column:
-    """Whether lengths and parities allow it: an edit changes the length by one at most and two parities at most."""
+    """Whether lengths and parities allow it: an edit changes the length by one or not at all, and one parity or two at most."""
     edits = _edits(similarity, "c_size", "m_size")
     n = F.least(F.size("c_parity"), F.size("m_parity"))
     folded = lambda x: F.when(F.size(x) > n, F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
     changed = F.aggregate(F.zip_with(folded("c_parity"), folded("m_parity"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    return (F.abs(F.col("c_size") - F.col("m_size")) <= edits) & (changed <= 2 * edits)
+    longer = F.abs(F.col("c_size") - F.col("m_size"))
+    return (longer <= edits) & (changed <= 2 * edits - longer)
+
+
+def _few(ids: DataFrame, broadcast_ids: int) -> bool:
+    return ids.limit(broadcast_ids + 1).count() <= broadcast_ids
 
 
 def _links(pairs: DataFrame, texts: DataFrame, bodies: DataFrame, similarity: float, count: int | None, broadcast_ids: int) -> DataFrame:
@@ -316,7 +473,7 @@ def _links(pairs: DataFrame, texts: DataFrame, bodies: DataFrame, similarity: fl
     dealt = pairs.join(pairs.groupBy("c").agg(F.ceil(F.count("*") / FAN).alias("copies")), "c").select("c", "m", F.pmod(F.xxhash64("m"), F.col("copies")).alias("copy"))
     wanted = cut_lineage(dealt.select("c", "copy", F.col("m").alias("id"), F.lit(False).alias("head")).unionByName(dealt.select("c", "copy", F.col("c").alias("id"), F.lit(True).alias("head")).distinct()))
     ids = wanted.select("id").distinct()
-    if ids.limit(broadcast_ids + 1).count() <= broadcast_ids:
+    if _few(ids, broadcast_ids):
         bodies = bodies.join(F.broadcast(ids), "id", "left_semi")
     rows = wanted.join(bodies, "id").repartition("c", "copy").sortWithinPartitions("c", "copy", F.desc("head"))
     kind = pairs.schema["c"].dataType.simpleString()
@@ -329,7 +486,7 @@ def _open(members: DataFrame, classes: DataFrame, texts: DataFrame | None = None
     """The members (key, text_id, class, size, mins, n, centres) of sketches whose texts are of several classes. CENTRES texts
     of each such sketch are its centres, drawn by a hash of text and sketch, so that every sketch has others. texts: where
     size and mins are to be looked up, if the members don't have them."""
-    own = members.select("key", "text_id", *(() if texts is not None else ("size", "mins")))
+    own = members.select("key", "text_id", *(() if texts is not None else ("size", "mins", "looked_up")))
     labelled = own.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left").withColumn("class", F.coalesce("class", "text_id"))
     drawn = F.array_distinct(F.array(*(F.min_by("text_id", F.xxhash64("text_id", "key", F.lit(i))) for i in range(CENTRES))))
     mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"), drawn.alias("centres")).where("lo < hi")
@@ -342,16 +499,24 @@ def _may_link(similarity: float, count: int) -> Column:
     return (F.col("c_class") != F.col("class")) & (F.abs(F.col("c_size") - F.col("size")) <= _edits(similarity, "c_size", "size")) & (_agreeing("c_mins", "mins", count) >= AGREEING)
 
 
-def _candidates(members: DataFrame, small: int | None, similarity: float, count: int) -> DataFrame:
-    """(c, m): pairs that share a sketch; of sketches with `small` texts at most all pairs, else those with a centre."""
-    own = members.where(F.col("n") <= small) if small else members.where(F.array_contains("centres", F.col("text_id")))
-    own = own.select("key", F.col("text_id").alias("c"), F.col("class").alias("c_class"), F.col("size").alias("c_size"), F.col("mins").alias("c_mins"))
-    met = members.join(own, "key").where(_may_link(similarity, count))
+def _candidates(members: DataFrame, every: bool, similarity: float, count: int) -> DataFrame:
+    """(c, m): pairs that share a sketch of SMALL texts at most; all of them, or those with a centre, but none of which both
+    texts are looked up by words."""
+    own = members if every else members.where(F.array_contains("centres", F.col("text_id")))
+    own = own.select("key", F.col("text_id").alias("c"), F.col("class").alias("c_class"), F.col("size").alias("c_size"), F.col("mins").alias("c_mins"), F.col("looked_up").alias("c_looked_up"))
+    met = members.join(own, "key").where(~(F.col("c_looked_up") & F.col("looked_up")) & _may_link(similarity, count))
     # Of a pair the first by hash is the one that is sent to the other.
     turned = F.xxhash64("c") > F.xxhash64("text_id")
     return met.select(F.when(turned, F.col("text_id")).otherwise(F.col("c")).alias("c"), F.when(turned, F.col("c")).otherwise(F.col("text_id")).alias("m")).distinct()
 
 
+def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (c, m) whose classes differ."""
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("class").alias(f"{x}_class"))
+    both = pairs.join(side("c"), "c", "left").join(side("m"), "m", "left")
+    return both.where(F.coalesce("c_class", "c") != F.coalesce("m_class", "m")).select("c", "m")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, count: int = SKETCHES) -> DataFrame:
     """(doc_col, class_id, text_id), a row for every id: its class, the smallest id among the documents it hangs together
     with, and text_id, the smallest id with the same text.
@@ -363,11 +528,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_col: st
 
     First the texts of a sketch are compared to its centre, the first by hash, which is the same for most sketches of a
     group of copies: n comparisons for n copies. Where the texts of a sketch are of several classes then, they are compared
-    to CENTRES others, drawn anew for each sketch; and in the end, in sketches of up to SMALL texts, all pairs of different
-    classes are. In a larger sketch, of a passage that many texts share, a pair is compared if one of the two is a centre
-    in any of the sketches that they share, a third of all for a pair with half of its shingles in common. Before a pair is
-    aligned its lengths, first minima and parities of word counts must allow a link; the first two are looked at in the
-    join.
+    to CENTRES others, drawn anew for each sketch, and in the end all pairs of different classes are. In a sketch of more
+    than SMALL texts, of a passage that many texts share, pairs are not listed: similar texts have one of their rarest words
+    in common (`rarest`), whatever passage they share, so those that share one are compared, first one pair of each two classes,
+    then all whose classes still differ. Before a pair is aligned its lengths, first minima and parities
+    of word counts must allow a link.
 
     Null texts and those without a word are alone in their class, but for equal ones. Rows that repeat an id are one
     document, whatever their texts. Rows with a null id are left out. An empty table gives an empty result; columns not
@@ -387,11 +552,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_col: st
     links = _links(tried, texts, bodies, similarity, count, broadcast_ids)
     classes = components(links, "c", "m")
     release(links)
-    for small in (None, SMALL):
-        opened = _open(members, classes, None if small else texts)
-        release(members)
-        members = opened
-        pairs = _candidates(members, small, similarity, count)
+    opened = _open(members, classes, texts)
+    release(members)
+    large = cut_lineage(opened.where(F.col("n") > SMALL).select(F.col("text_id").alias("id"), F.xxhash64("class").alias("label")).distinct())
+    few = _few(large, broadcast_ids)
+    rare = None if _few(large, 0) else _rare_words(bodies.join(F.broadcast(large) if few else large, "id"), similarity)
+    members = opened.where(F.col("n") <= SMALL).join(large.select(F.col("id").alias("text_id"), F.lit(True).alias("looked_up")), "text_id", "left").withColumn("looked_up", F.coalesce("looked_up", F.lit(False)))
+    members, opened = opened, cut_lineage(members)
+    release(members, large)
+    met = None if rare is None else cut_lineage(_by_words(rare, texts, classes, similarity, count))
+    for every in (False, True):
+        pairs = _candidates(opened, every, similarity, count)
+        if met is not None:
+            more = _apart(met, classes) if every else met.groupBy("lo", "hi").agg(F.min(F.struct("c", "m")).alias("x")).select("x.c", "x.m")
+            pairs = pairs.unionByName(more).distinct()
         pairs = cut_lineage(pairs.join(tried, ["c", "m"], "left_anti"))
         if pairs.limit(1).count():
             more = _links(pairs, texts, bodies, similarity, None, broadcast_ids)
@@ -399,6 +573,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_col: st
                 classes = components(classes.select(F.col("class").alias("c"), F.col("id").alias("m")).unionByName(more), "c", "m")
             release(more)
             tried = tried.unionByName(pairs)
+        if not every:
+            members, opened = opened, _open(opened, classes)
+            release(members)
 
     found = texts.select("sha", "text_id").join(classes.withColumnRenamed("id", "text_id"), "text_id", "left")
     out = own.select("id", "sha").join(found, "sha").groupBy("id").agg(F.min(F.coalesce("class", "text_id")).alias("class_id"), F.min("text_id").alias("text_id"))

@@ -92,6 +92,57 @@ def test_pairs_that_meet_only_beside_other_centres_are_linked(spark):
     assert {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(docs).collect()} == group
 
 
+def pairs_beside_a_passage(n, seed):
+    """(rows, class of each) of n texts in pairs that have no shingle in common but those of a passage that all share."""
+    r = random.Random(seed)
+    fresh = lambda k: [f"w{r.randrange(10**8)}" for _ in range(k)]
+    shared, rows, group = fresh(150), [], {}
+    order = list(range(1, n + 1))
+    r.shuffle(order)
+    for a, b in zip(order[::2], order[1::2]):
+        own = fresh(45)
+        copy = [fresh(1)[0] if i % 5 == 2 else w for i, w in enumerate(own)]
+        rows += [(a, " ".join(shared + own)), (b, " ".join(shared + copy))]
+        group |= {a: min(a, b), b: min(a, b)}
+    return rows, group
+
+
+def test_no_pair_of_a_large_sketch_is_lost(spark):
+    # Far more texts than centres share the passage.
+    rows, group = pairs_beside_a_passage(1000, 9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(docs).collect()} == group
+
+
+def test_words_dealt_out_in_blocks_give_the_same(spark, monkeypatch):
+    rows, group = pairs_beside_a_passage(200, 10)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_dup, "DEALT", 1)
+    assert {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(docs, broadcast_ids=0).collect()} == group
+
+
+def test_rarest_words_meet_and_parities_are_lower_bounds():
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        a = r.integers(0, 30, r.integers(1, 400)).astype(np.uint64)
+        b = a[r.random(len(a)) > r.random() * 0.1]
+        b = np.where(r.random(len(b)) < r.random() * 0.15, r.integers(0, 40, len(b)).astype(np.uint64), b)
+        if not len(b) or not near_dup.similar(a, b, 0.8):
+            continue
+        h = near_dup.mix(np.concatenate((a, b)))
+        first = np.array([0, len(a), len(h)])
+        doc = np.repeat(np.arange(2), np.diff(first))
+        tokens = near_dup.occurrence_labelled(h, doc)
+        common = r.integers(0, 9, 1 << near_dup.SLOT_BITS)
+        at = near_dup.rarest(tokens, doc, first, common, 0.8)
+        assert set(tokens[at[doc[at] == 0]]) & set(tokens[at[doc[at] == 1]])
+        odd = [near_dup._parity(tokens[lo:hi], p) for lo, hi, p in ((0, len(a), 32), (len(a), len(h), 8))]
+        differ = near_dup.changed(np.concatenate(odd).view(np.uint64), np.array([0, 32, 40]), np.array([0, 1]), np.array([1, 1]))
+        plain = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in np.bitwise_xor.reduce(odd[0].reshape(4, 8)) ^ odd[1])
+        edits = near_dup.edit_distance_within(a, b, len(h))
+        assert differ.tolist() == [plain, 0] and plain <= 2 * edits - abs(len(a) - len(b))
+
+
 def substituted(text, share, seed):
     """The text with a share of its words, at random places, changed."""
     r = random.Random(seed)
