@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.kernels import U, mix, powers, rolling, slices, text_bytes, word_hashes, words
-from quillgraph.llm.store import cut_lineage, release
+from quillgraph.llm.store import cut_lineage, release, sweep
 
 #: Words of a shingle, similarity, sketches of a text, and shingles that a sketch keeps in their order.
 SHINGLE, SIMILARITY, SKETCHES, KEPT = 5, 0.8, 72, 2
@@ -470,7 +470,8 @@ def _links(pairs: DataFrame, texts: DataFrame, bodies: DataFrame, similarity: fl
     agree = _agreeing("c_mins", "m_mins", count) >= AGREEING if count else F.lit(True)
     pairs = pairs.join(side("c"), "c").join(side("m"), "m").where(agree & _may_align(similarity))
     pairs = cut_lineage(pairs.select("c", "m").distinct())
-    dealt = pairs.join(pairs.groupBy("c").agg(F.ceil(F.count("*") / FAN).alias("copies")), "c").select("c", "m", F.pmod(F.xxhash64("m"), F.col("copies")).alias("copy"))
+    many = pairs.groupBy("c").agg(F.ceil(F.count("*") / FAN).alias("copies")).where("copies > 1")
+    dealt = pairs.join(many, "c", "left").select("c", "m", F.pmod(F.xxhash64("m"), F.coalesce("copies", F.lit(1).cast("long"))).alias("copy"))
     wanted = cut_lineage(dealt.select("c", "copy", F.col("m").alias("id"), F.lit(False).alias("head")).unionByName(dealt.select("c", "copy", F.col("c").alias("id"), F.lit(True).alias("head")).distinct()))
     ids = wanted.select("id").distinct()
     if _few(ids, broadcast_ids):
@@ -549,9 +550,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_col: st
     centres = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("text_id", F.xxhash64("text_id")).alias("c")).where("n > 1").select("key", "c")
     members = cut_lineage(keyed.join(centres, "key"))
     tried = cut_lineage(members.where(F.col("text_id") != F.col("c")).select("c", F.col("text_id").alias("m")).distinct())
+    sweep(docs.sparkSession)
     links = _links(tried, texts, bodies, similarity, count, broadcast_ids)
     classes = components(links, "c", "m")
     release(links)
+    sweep(docs.sparkSession)
     opened = _open(members, classes, texts)
     release(members)
     large = cut_lineage(opened.where(F.col("n") > SMALL).select(F.col("text_id").alias("id"), F.xxhash64("class").alias("label")).distinct())
@@ -561,6 +564,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_col: st
     members, opened = opened, cut_lineage(members)
     release(members, large)
     met = None if rare is None else cut_lineage(_by_words(rare, texts, classes, similarity, count))
+    sweep(docs.sparkSession)
     for every in (False, True):
         pairs = _candidates(opened, every, similarity, count)
         if met is not None:
@@ -572,6 +576,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_col: st
             if more.limit(1).count():
                 classes = components(classes.select(F.col("class").alias("c"), F.col("id").alias("m")).unionByName(more), "c", "m")
             release(more)
+            sweep(docs.sparkSession)
             tried = tried.unionByName(pairs)
         if not every:
             members, opened = opened, _open(opened, classes)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,13 @@ def release(*frames: DataFrame) -> None:
             _remove(df.sparkSession, files.get())
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has the driver look for shuffles that no frame refers to any more, so that executors delete their files now and not
+    when the driver's memory is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder as Parquet and read again; the files go when the driver's Python ends."""
     spark = df.sparkSession
