@@ -4,10 +4,11 @@ import base64
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from quillgraph.llm import langid, near_dup, pii
+from quillgraph.llm import kernels, langid, near_dup, pii
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -73,6 +74,13 @@ def test_every_language_is_learned(spark):
     assert {x["lang"] for x in got} > {x["lang"] for x in got[:1]} and np.mean([x["lang"] == x["lang_pred"] for x in got]) > 0.97
 
 
+def test_workers_give_memory_back_after_each_batch(monkeypatch):
+    seen = []
+    monkeypatch.setattr(kernels, "give_back", lambda: seen.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b", None, "c" * 50])], ["text"])
+    assert [p.num_rows for p in kernels.slices(batch, "text", 10)] == [2, 1] and seen == [1]
+
+
 # ---- near duplicates
 
 
@@ -114,6 +122,12 @@ def test_no_pair_of_a_large_sketch_is_lost(spark):
     assert {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(docs).collect()} == group
 
 
+def test_the_stage_keeps_one_text_of_each_pair_beside_a_passage(spark):
+    rows, group = pairs_beside_a_passage(600, 11)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS)
+    assert {x["doc_id"] for x in pipeline.near_duplicates(spark, docs, "").collect()} == set(group.values())
+
+
 def test_words_dealt_out_in_blocks_give_the_same(spark, monkeypatch):
     rows, group = pairs_beside_a_passage(200, 10)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
