@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,3 +108,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         total += n
     if lo < batch.num_rows:
         yield batch.slice(lo)
+    give_back()
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # other C libraries than glibc
+    _trim = None
+
+
+def give_back() -> None:
+    """Returns memory that a batch no longer needs to the system: Spark keeps Python workers for the tasks and stages to come."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
