@@ -14,9 +14,6 @@ from quillgraph.llm.store import cut_lineage, release, sweep
 
 #: Words of a shingle, similarity, sketches of a text, and shingles that a sketch keeps in their order.
 SHINGLE, SIMILARITY, SKETCHES, KEPT = 5, 0.8, 72, 2
-#: Of the sketches' first minima so many must agree for a pair to be aligned. Of 72, a pair with a fifth of its shingles
-#: in common, as random edits of a fifth of the words leave, has less with a chance of 0.0001.
-AGREEING = 4
 #: Ids (8 bytes each) up to this number are broadcast to pick out texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Texts that are aligned to one copy of a centre.
@@ -48,8 +45,8 @@ def occurrence_labelled(shingles: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(shingles + nth * U(0xD6E8FEB86659FD93))
 
 
-def sketches(labelled: np.ndarray, first: np.ndarray, count: int, kept: int) -> tuple[np.ndarray, np.ndarray]:
-    """texts x count keys, and a byte of each sketch's least shingle. Each sketch takes the `kept` shingles with the least
+def sketches(labelled: np.ndarray, first: np.ndarray, count: int, kept: int) -> np.ndarray:
+    """texts x count keys. Each sketch takes the `kept` shingles with the least
     hashes under its own permutation and hashes them in the order of the text. first: where each text's shingles begin,
     and their end; no text may be empty."""
     begin, most = first[:-1], np.iinfo(np.uint64).max
@@ -58,7 +55,7 @@ def sketches(labelled: np.ndarray, first: np.ndarray, count: int, kept: int) ->
     place = np.arange(len(labelled)).astype(U)
     draw = np.random.default_rng(23)
     flip, times = (draw.integers(0, 1 << 63, count, dtype=U) for _ in range(2))
-    keys, mins = np.zeros((len(begin), count), U), np.zeros((len(begin), count), np.uint8)
+    keys = np.zeros((len(begin), count), U)
     for j in range(count):
         h = labelled ^ flip[j]
         h *= times[j] | U(1)
@@ -71,19 +68,18 @@ def sketches(labelled: np.ndarray, first: np.ndarray, count: int, kept: int) ->
             spot = (least & low).astype(np.int64)
             spots.append(np.where(least == most, spots[0], spot) if spots else spot)
             h[spots[-1]] = most
-        mins[:, j] = (labelled[spots[0]] >> U(56)).astype(np.uint8)
         for i, spot in enumerate(np.sort(np.stack(spots), axis=0)):
             keys[:, j] = mix(keys[:, j] * U(31) + labelled[spot] + U(i))
-    return keys, mins
+    return keys
 
 
-def text_sketches(h: np.ndarray, first: np.ndarray, count: int = SKETCHES, kept: int = KEPT, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(texts with a word, their sketches and bytes of the minima) of the texts whose word hashes begin at `first`. A text
+def text_sketches(h: np.ndarray, first: np.ndarray, count: int = SKETCHES, kept: int = KEPT, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(texts with a word, their sketches) of the texts whose word hashes begin at `first`. A text
     shorter than a shingle is one shingle."""
     n = np.diff(first)
     rows = np.flatnonzero(n > 0)
     if not len(rows):
-        return rows, np.zeros((0, count), U), np.zeros((0, count), np.uint8)
+        return rows, np.zeros((0, count), U)
     grams = rolling(h, k)
     size = np.maximum(n[rows] - k + 1, 1)
     edge = np.concatenate(([0], np.cumsum(size)))
@@ -95,7 +91,7 @@ def text_sketches(h: np.ndarray, first: np.ndarray, count: int = SKETCHES, kept:
         for x in h[first[rows[i]] : first[rows[i] + 1]]:
             own = mix(own * U(31) + x)
         shingles[edge[i]] = own[0]
-    return (rows, *sketches(occurrence_labelled(shingles, doc), edge, count, kept))
+    return rows, sketches(occurrence_labelled(shingles, doc), edge, count, kept)
 
 
 def edit_distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
@@ -231,8 +227,8 @@ def changed(odd: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return out
 
 
-def _listed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+def _listed(values: np.ndarray, ends: np.ndarray, kind: pa.DataType = pa.int64()) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
 
 
 def _sketch_rows(count: int):
@@ -242,16 +238,13 @@ def _sketch_rows(count: int):
                 data, offsets = text_bytes(part.column("text"))
                 starts, ends, first = words(data, offsets)
                 h = word_hashes(data, starts, ends)
-                rows, keys, mins = text_sketches(h, first, count)
+                rows, keys = text_sketches(h, first, count)
                 odd = parities(occurrence_labelled(h, np.repeat(np.arange(part.num_rows), np.diff(first))), first)
                 there = np.zeros(part.num_rows + 1, np.int64)
                 there[rows + 1] = 1
                 there = np.cumsum(there)
-                padded = np.zeros((len(mins), -(-count // 8) * 8), np.uint8)
-                padded[:, :count] = mins
-                minima = padded.view(np.int64)
                 parity = _listed(np.concatenate(odd), np.concatenate(([0], np.cumsum([len(x) for x in odd]))))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("sha"), _listed(keys.astype(np.int64).reshape(-1), there * count), _listed(minima.reshape(-1), there * minima.shape[1]), pa.array(np.diff(first), pa.int64()), parity], ["id", "sha", "keys", "mins", "size", "parity"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("sha"), _listed(keys.astype(np.int64).reshape(-1), there * count), pa.array(np.diff(first), pa.int64()), parity], ["id", "sha", "keys", "size", "parity"])
 
     return run
 
@@ -352,34 +345,40 @@ def _rare_rows(similarity: float, dealt: int, sent):
                 at, slot = at[mixed[slot]], slot[mixed[slot]]
                 odd = [_parity(tokens[lo:hi], min(WIDEST, max(PARITIES, 1 << ((hi - lo) // 16).bit_length()))) for lo, hi in zip(first[:-1].tolist(), first[1:].tolist())]
                 ends = np.append(0, np.cumsum(np.bincount(doc[at], minlength=part.num_rows)))
-                lists = [_listed(np.concatenate(odd), np.append(0, np.cumsum([len(x) for x in odd]))), _listed(tokens[at].astype(np.int64), ends), _listed(-(-common[slot] // dealt), ends)]
+                # Their upper halves, with the slot: two words that have the same one meet as if they were one, in the same order.
+                lists = [_listed(np.concatenate(odd), np.append(0, np.cumsum([len(x) for x in odd]))), _listed((tokens[at] >> U(32)).astype(np.uint32).view(np.int32), ends, pa.int32()), _listed(-(-common[slot] // dealt), ends)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(first), pa.int64()), *lists], ["text_id", "size", "odd", "w", "blocks"])
 
     return run
 
 
 def _rare_words(bodies: DataFrame, similarity: float) -> DataFrame:
-    """(text_id, size, odd: parities, w: the rarest words, blocks: how many each word's texts are dealt out in) of bodies (id,
+    """(text_id, size, odd: parities, w: the rarest words, the rarest first, blocks: how many each word's texts are dealt out in) of bodies (id,
     text, label: a number of the class). Words are counted in slots; those of slots whose texts are all of one class are left out of w."""
     kind = bodies.schema["id"].dataType.simpleString()
     seen = bodies.select("text", "label").mapInArrow(_counted, "slot long, n long, lo long, hi long").groupBy("slot").agg(F.sum("n").alias("n"), (F.min("lo") < F.max("hi")).alias("mixed")).toArrow()
     common, mixed = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, bool)
     common[seen["slot"].to_numpy()], mixed[seen["slot"].to_numpy()] = seen["n"].to_numpy(), seen["mixed"].to_numpy()
     sent = bodies.sparkSession.sparkContext.broadcast((common, mixed))
-    return cut_lineage(bodies.select("id", "text").mapInArrow(_rare_rows(similarity, DEALT, sent), f"text_id {kind}, size long, odd array<long>, w array<long>, blocks array<long>"))
+    return cut_lineage(bodies.select("id", "text").mapInArrow(_rare_rows(similarity, DEALT, sent), f"text_id {kind}, size long, odd array<long>, w array<int>, blocks array<long>"))
 
 
-def _met(similarity: float, count: int):
+def _met(similarity: float):
     """Rows come word by word (w, i, j); the pairs leave, with the numbers of their classes, whose classes differ and whose
-    sizes, first minima and parities allow a link. i, j: the blocks of a word's texts that are held against each other."""
+    sizes and parities allow a link. i, j: the blocks of a word's texts that are held against each other."""
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         w, i, j, block, h, label, size = (rows[x].to_numpy() for x in ("w", "i", "j", "block", "h", "label", "size"))
-        mins, odd = (rows[x].combine_chunks() for x in ("mins", "odd"))
-        mins = mins.flatten().to_numpy().reshape(len(w), -1).view(np.uint8)
+        odd = rows["odd"].combine_chunks()
         first, odd = np.append(0, np.cumsum(pa.compute.list_value_length(odd).to_numpy())), odd.flatten().to_numpy().view(U)
         begin = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         end = np.repeat(np.append(begin[1:], len(w)), np.diff(np.append(begin, len(w))))
-        at, apart, late = np.arange(len(w)), 0, [(np.zeros(0, np.int64),) * 3]
+
+        def near(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+            c, m, most = (np.concatenate(x) for x in zip(*found))
+            ok = np.concatenate([np.zeros(0, bool), *(changed(odd, first, c[lo : lo + PAIRS_AT_ONCE], m[lo : lo + PAIRS_AT_ONCE]) <= most[lo : lo + PAIRS_AT_ONCE] for lo in range(0, len(c), PAIRS_AT_ONCE))])
+            return c[ok], m[ok]
+
+        at, apart, found, late = np.arange(len(w)), 0, [(np.zeros(0, np.int64),) * 3], []
         while len(at):
             apart += 1
             at = at[at + apart < end[at]]
@@ -389,12 +388,11 @@ def _met(similarity: float, count: int):
             edits = np.floor((1 - similarity) * np.maximum(size[c], size[m]) + 1e-9)
             longer = np.abs(size[c] - size[m])
             ok = longer <= edits
-            c, m, most = c[ok], m[ok], (2 * edits - longer)[ok]
-            ok = (mins[c] != mins[m]).sum(1) <= count - AGREEING
-            late.append((c[ok], m[ok], most[ok]))
-        c, m, most = (np.concatenate(x) for x in zip(*late))
-        ok = np.concatenate([np.zeros(0, bool), *(changed(odd, first, c[lo : lo + PAIRS_AT_ONCE], m[lo : lo + PAIRS_AT_ONCE]) <= most[lo : lo + PAIRS_AT_ONCE] for lo in range(0, len(c), PAIRS_AT_ONCE))])
-        c, m = c[ok], m[ok]
+            found.append((c[ok], m[ok], (2 * edits - longer)[ok]))
+            if not len(at) or sum(len(x) for x, _, _ in found) >= PAIRS_AT_ONCE:
+                late.append(near(found))
+                found = found[:1]
+        c, m = (np.concatenate(x) for x in zip(*late))
         c, m = np.where(h[c] > h[m], m, c), np.where(h[c] > h[m], c, m)
         one = np.unique(np.stack((h[c], h[m]), axis=1), axis=0, return_index=True)[1]
         c, m, ids = c[one], m[one], rows["text_id"].combine_chunks()
@@ -418,30 +416,27 @@ def _met(similarity: float, count: int):
     return run
 
 
-def _by_words(rare: DataFrame, texts: DataFrame, classes: DataFrame, similarity: float, count: int) -> DataFrame:
+def _by_words(rare: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """(c, m, lo, hi: numbers of their classes): the pairs of texts in `rare` that share one of their rarest words, are of different classes and may be linked.
     The texts of a frequent word are dealt out in blocks, and every two blocks are held against each other."""
-    labelled = rare.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left").join(texts.select("text_id", "mins"), "text_id")
-    words_of = labelled.select("text_id", F.xxhash64("text_id").alias("h"), F.xxhash64(F.coalesce("class", "text_id")).alias("label"), "size", "mins", "odd", F.arrays_zip("w", "blocks").alias("xs"))
-    # Dealt anew, as texts of many words may stand together.
-    words_of = words_of.repartition("text_id").select("text_id", "h", "label", "size", "mins", "odd", F.explode("xs").alias("x")).select("*", "x.w", "x.blocks", F.pmod(F.xxhash64("text_id", "x.w"), F.col("x.blocks")).alias("block"))
-    dealt = words_of.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("w", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "text_id", "h", "label", "size", "mins", "odd")
-    kind = rare.schema["text_id"].dataType.simpleString()
-    return dealt.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j").mapInArrow(_met(similarity, count), f"c {kind}, m {kind}, lo long, hi long").distinct()
+    return _word_rows(rare, classes).mapInArrow(_met(similarity), _met_kind(rare)).distinct()
 
 
-def _disagreeing(x: Column, y: Column) -> Column:
-    """How many bytes of two numbers differ."""
-    v = x.bitwiseXOR(y)
-    for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
-        v = v.bitwiseOR(F.shiftrightunsigned(v, shift).bitwiseAND(F.lit(mask)))
-    return F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101)))
+def _met_kind(rare: DataFrame) -> str:
+    kind = rare.schema["text_id"].dataType.simpleString()
+    return f"c {kind}, m {kind}, lo long, hi long"
 
 
-def _agreeing(x: str, y: str, count: int) -> Column:
-    """How many of the sketches' first minima are equal, as far as a byte tells."""
-    return F.lit(count) - sum((_disagreeing(F.get(x, F.lit(i)), F.get(y, F.lit(i))) for i in range(-(-count // 8))), F.lit(0))
+def _word_rows(rare: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows that _met takes, those of a word and two blocks together."""
+    labelled = rare.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left")
+    words_of = labelled.select("text_id", F.xxhash64("text_id").alias("h"), F.xxhash64(F.coalesce("class", "text_id")).alias("label"), "size", "odd", F.arrays_zip("w", "blocks").alias("xs"))
+    # Dealt anew, as texts of many words may stand together.
+    words_of = words_of.repartition("text_id").select("text_id", "h", "label", "size", "odd", F.explode("xs").alias("x"))
+    words_of = words_of.select("*", "x.w", "x.blocks", F.pmod(F.xxhash64("text_id", "x.w"), F.col("x.blocks")).alias("block"))
+    dealt = words_of.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("w", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "text_id", "h", "label", "size", "odd")
+    return dealt.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j")
 
 
 def _edits(similarity: float, x: str, y: str) -> Column:
@@ -463,12 +458,10 @@ def _few(ids: DataFrame, broadcast_ids: int) -> bool:
     return ids.limit(broadcast_ids + 1).count() <= broadcast_ids
 
 
-def _links(pairs: DataFrame, texts: DataFrame, bodies: DataFrame, similarity: float, count: int | None, broadcast_ids: int) -> DataFrame:
-    """The pairs (c, m) of ids whose texts, in bodies (id, text), are similar. A centre's text is sent once for FAN others.
-    count: number of sketches, None where the pairs' minima have been held against each other."""
-    side = lambda x: texts.select(F.col("text_id").alias(x), *(F.col(v).alias(f"{x}_{v}") for v in (("size", "mins", "parity") if count else ("size", "parity"))))
-    agree = _agreeing("c_mins", "m_mins", count) >= AGREEING if count else F.lit(True)
-    pairs = pairs.join(side("c"), "c").join(side("m"), "m").where(agree & _may_align(similarity))
+def _links(pairs: DataFrame, texts: DataFrame, bodies: DataFrame, similarity: float, broadcast_ids: int) -> DataFrame:
+    """The pairs (c, m) of ids whose texts, in bodies (id, text), are similar. A centre's text is sent once for FAN others."""
+    side = lambda x: texts.select(F.col("text_id").alias(x), *(F.col(v).alias(f"{x}_{v}") for v in ("size", "parity")))
+    pairs = pairs.join(side("c"), "c").join(side("m"), "m").where(_may_align(similarity))
     pairs = cut_lineage(pairs.select("c", "m").distinct())
     many = pairs.groupBy("c").agg(F.ceil(F.count("*") / FAN).alias("copies")).where("copies > 1")
     dealt = pairs.join(many, "c", "left").select("c", "m", F.pmod(F.xxhash64("m"), F.coalesce("copies", F.lit(1).cast("long"))).alias("copy"))
@@ -484,28 +477,28 @@ def _links(pairs: DataFrame, texts: DataFrame, bodies: DataFrame, similarity: fl
 
 
 def _open(members: DataFrame, classes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """The members (key, text_id, class, size, mins, n, centres) of sketches whose texts are of several classes. CENTRES texts
+    """The members (key, text_id, class, size, n, centres) of sketches whose texts are of several classes. CENTRES texts
     of each such sketch are its centres, drawn by a hash of text and sketch, so that every sketch has others. texts: where
-    size and mins are to be looked up, if the members don't have them."""
-    own = members.select("key", "text_id", *(() if texts is not None else ("size", "mins", "looked_up")))
+    sizes are to be looked up, if the members don't have them."""
+    own = members.select("key", "text_id", *(() if texts is not None else ("size", "looked_up")))
     labelled = own.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left").withColumn("class", F.coalesce("class", "text_id"))
     drawn = F.array_distinct(F.array(*(F.min_by("text_id", F.xxhash64("text_id", "key", F.lit(i))) for i in range(CENTRES))))
     mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"), drawn.alias("centres")).where("lo < hi")
     labelled = labelled.join(mixed.select("key", "n", "centres"), "key")
-    return cut_lineage(labelled.join(texts.select("text_id", "size", "mins"), "text_id") if texts is not None else labelled)
+    return cut_lineage(labelled.join(texts.select("text_id", "size"), "text_id") if texts is not None else labelled)
 
 
-def _may_link(similarity: float, count: int) -> Column:
-    """Whether classes, sizes and first minima of c and m allow a link that tells something new."""
-    return (F.col("c_class") != F.col("class")) & (F.abs(F.col("c_size") - F.col("size")) <= _edits(similarity, "c_size", "size")) & (_agreeing("c_mins", "mins", count) >= AGREEING)
+def _may_link(similarity: float) -> Column:
+    """Whether classes and sizes of c and m allow a link that tells something new."""
+    return (F.col("c_class") != F.col("class")) & (F.abs(F.col("c_size") - F.col("size")) <= _edits(similarity, "c_size", "size"))
 
 
-def _candidates(members: DataFrame, every: bool, similarity: float, count: int) -> DataFrame:
+def _candidates(members: DataFrame, every: bool, similarity: float) -> DataFrame:
     """(c, m): pairs that share a sketch of SMALL texts at most; all of them, or those with a centre, but none of which both
     texts are looked up by words."""
     own = members if every else members.where(F.array_contains("centres", F.col("text_id")))
-    own = own.select("key", F.col("text_id").alias("c"), F.col("class").alias("c_class"), F.col("size").alias("c_size"), F.col("mins").alias("c_mins"), F.col("looked_up").alias("c_looked_up"))
-    met = members.join(own, "key").where(~(F.col("c_looked_up") & F.col("looked_up")) & _may_link(similarity, count))
+    own = own.select("key", F.col("text_id").alias("c"), F.col("class").alias("c_class"), F.col("size").alias("c_size"), F.col("looked_up").alias("c_looked_up"))
+    met = members.join(own, "key").where(~(F.col("c_looked_up") & F.col("looked_up")) & _may_link(similarity))
     # Of a pair the first by hash is the one that is sent to the other.
     turned = F.xxhash64("c") > F.xxhash64("text_id")
     return met.select(F.when(turned, F.col("text_id")).otherwise(F.col("c")).alias("c"), F.when(turned, F.col("c")).otherwise(F.col("text_id")).alias("m")).distinct()
@@ -532,8 +525,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_col: st
     to CENTRES others, drawn anew for each sketch, and in the end all pairs of different classes are. In a sketch of more
     than SMALL texts, of a passage that many texts share, pairs are not listed: similar texts have one of their rarest words
     in common (`rarest`), whatever passage they share, so those that share one are compared, first one pair of each two classes,
-    then all whose classes still differ. Before a pair is aligned its lengths, first minima and parities
-    of word counts must allow a link.
+    then all whose classes still differ. Before a pair is aligned its lengths and the parities of
+    its word counts must allow a link, which those of no similar pair forbid.
 
     Null texts and those without a word are alone in their class, but for equal ones. Rows that repeat an id are one
     document, whatever their texts. Rows with a null id are left out. An empty table gives an empty result; columns not
@@ -541,9 +534,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_col: st
     """
     own = docs.select(F.col(doc_col).alias("id"), F.col(text_col).alias("text"), F.unhex(F.sha2(F.coalesce(F.concat(F.lit("="), F.col(text_col)), F.lit("")), 256)).alias("sha")).where(F.col("id").isNotNull())
     kind = own.schema["id"].dataType.simpleString()
-    seen = own.mapInArrow(_sketch_rows(count), f"id {kind}, sha binary, keys array<long>, mins array<long>, size long, parity array<long>")
-    texts = seen.groupBy("sha").agg(F.min(F.struct("id", "keys", "mins", "size", "parity")).alias("x"))
-    texts = cut_lineage(texts.select("sha", F.col("x.id").alias("text_id"), "x.keys", "x.mins", "x.size", "x.parity"))
+    seen = own.mapInArrow(_sketch_rows(count), f"id {kind}, sha binary, keys array<long>, size long, parity array<long>")
+    texts = seen.groupBy("sha").agg(F.min(F.struct("id", "keys", "size", "parity")).alias("x"))
+    texts = cut_lineage(texts.select("sha", F.col("x.id").alias("text_id"), "x.keys", "x.size", "x.parity"))
     bodies = own.select("id", "text")
 
     keyed = texts.select("text_id", F.explode(F.array_distinct("keys")).alias("key")).repartition("key")
@@ -551,7 +544,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_col: st
     members = cut_lineage(keyed.join(centres, "key"))
     tried = cut_lineage(members.where(F.col("text_id") != F.col("c")).select("c", F.col("text_id").alias("m")).distinct())
     sweep(docs.sparkSession)
-    links = _links(tried, texts, bodies, similarity, count, broadcast_ids)
+    links = _links(tried, texts, bodies, similarity, broadcast_ids)
     classes = components(links, "c", "m")
     release(links)
     sweep(docs.sparkSession)
@@ -563,16 +556,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_col: st
     members = opened.where(F.col("n") <= SMALL).join(large.select(F.col("id").alias("text_id"), F.lit(True).alias("looked_up")), "text_id", "left").withColumn("looked_up", F.coalesce("looked_up", F.lit(False)))
     members, opened = opened, cut_lineage(members)
     release(members, large)
-    met = None if rare is None else cut_lineage(_by_words(rare, texts, classes, similarity, count))
+    met = None if rare is None else cut_lineage(_by_words(rare, classes, similarity))
     sweep(docs.sparkSession)
     for every in (False, True):
-        pairs = _candidates(opened, every, similarity, count)
+        pairs = _candidates(opened, every, similarity)
         if met is not None:
             more = _apart(met, classes) if every else met.groupBy("lo", "hi").agg(F.min(F.struct("c", "m")).alias("x")).select("x.c", "x.m")
             pairs = pairs.unionByName(more).distinct()
         pairs = cut_lineage(pairs.join(tried, ["c", "m"], "left_anti"))
         if pairs.limit(1).count():
-            more = _links(pairs, texts, bodies, similarity, None, broadcast_ids)
+            more = _links(pairs, texts, bodies, similarity, broadcast_ids)
             if more.limit(1).count():
                 classes = components(classes.select(F.col("class").alias("c"), F.col("id").alias("m")).unionByName(more), "c", "m")
             release(more)

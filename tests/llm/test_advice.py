@@ -157,6 +157,21 @@ def test_rarest_words_meet_and_parities_are_lower_bounds():
         assert differ.tolist() == [plain, 0] and plain <= 2 * edits - abs(len(a) - len(b))
 
 
+def test_pairs_with_few_minima_in_common_are_linked(spark):
+    # Every fifth word differs but for the first ones; the pairs share a sketch, and 1 to 3 first minima of 72.
+    rows, group = [], {}
+    for n, seed in enumerate((18, 50, 56, 158, 230, 234, 236, 274)):
+        r = random.Random(seed)
+        fresh = lambda k: [f"w{r.randrange(10**8)}" for _ in range(k)]
+        own = fresh(150)
+        rows += [(2 * n, " ".join(own)), (2 * n + 1, " ".join(fresh(1)[0] if i % 5 == 2 and i > 12 else w for i, w in enumerate(own)))]
+        group |= {2 * n: 2 * n, 2 * n + 1: 2 * n}
+    assert all(edit_similarity(rows[i][1], rows[i + 1][1]) >= 0.8 for i in range(0, len(rows), 2))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS)
+    assert {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(docs).collect()} == group
+    assert {x["doc_id"] for x in pipeline.near_duplicates(spark, docs, "").collect()} == set(group.values())
+
+
 def substituted(text, share, seed):
     """The text with a share of its words, at random places, changed."""
     r = random.Random(seed)
