@@ -25,8 +25,11 @@ CENTRES, SMALL = 4, 64
 SLOT_BITS, DEALT = 19, 4000
 #: Most numbers of parities that go with a word of a text, for texts of a thousand words and more: four buckets or more a word in shorter ones.
 WIDEST = 64
-#: Pairs whose parities are compared at once.
-PAIRS_AT_ONCE = 20_000
+#: Pairs whose parities are compared at once, and words that are looked up at once in the other text of their pair.
+PAIRS_AT_ONCE, WORDS_AT_ONCE = 20_000, 1_000_000
+#: Of a text's rarest words so many go with the next one, to tell pairs that have met by an earlier word. A pair that meets
+#: again after more words than these leaves again, so that rows grow with a text and not with its square.
+EARLIER = 128
 #: Groups of 64 buckets of words whose counts' parities are kept of a text: the least, and how often they are doubled
 #: for longer texts.
 PARITIES, DOUBLED = 8, 5
@@ -363,19 +366,41 @@ def _rare_words(bodies: DataFrame, similarity: float) -> DataFrame:
     return cut_lineage(bodies.select("id", "text").mapInArrow(_rare_rows(similarity, DEALT, sent), f"text_id {kind}, size long, odd array<long>, w array<int>, blocks array<long>"))
 
 
+def met_earlier(words: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows a[k] and b[k] have one of their words in common. A row's begin at first of words."""
+    own, ids = np.unique(words, return_inverse=True)
+    n = np.diff(first)
+    here = np.sort(np.repeat(np.arange(len(n)), n) * len(own) + ids)
+    a, b = np.where(n[a] > n[b], b, a), np.where(n[a] > n[b], a, b)
+    out, many = np.zeros(len(a), bool), np.cumsum(n[a])
+    for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(many // WORDS_AT_ONCE)) + 1):
+        k = np.repeat(part, n[a[part]])
+        if len(k):
+            nth = np.arange(len(k)) - np.repeat(np.cumsum(n[a[part]]) - n[a[part]], n[a[part]])
+            looked = b[k] * len(own) + ids[first[a[k]] + nth]
+            found = here[np.minimum(np.searchsorted(here, looked), len(here) - 1)] == looked
+            out[k[found]] = True
+    return out
+
+
 def _met(similarity: float):
-    """Rows come word by word (w, i, j); the pairs leave, with the numbers of their classes, whose classes differ and whose
-    sizes and parities allow a link. i, j: the blocks of a word's texts that are held against each other."""
+    """Rows come word by word (w, i, j); the pairs leave, with the numbers of their classes, whose classes differ, whose sizes
+    and parities allow a link and that have none of the words before w in common, so that of all words of a pair
+    the first one lets it leave. i, j: the blocks of a word's texts that are held against each other; earlier: the last
+    EARLIER words before w in their text's order."""
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         w, i, j, block, h, label, size = (rows[x].to_numpy() for x in ("w", "i", "j", "block", "h", "label", "size"))
-        odd = rows["odd"].combine_chunks()
-        first, odd = np.append(0, np.cumsum(pa.compute.list_value_length(odd).to_numpy())), odd.flatten().to_numpy().view(U)
+        lists = [rows[x].combine_chunks() for x in ("odd", "earlier")]
+        (first, before), (odd, earlier) = ([np.append(0, np.cumsum(pa.compute.list_value_length(x).to_numpy())) for x in lists], (x.flatten().to_numpy() for x in lists))
+        odd = odd.view(U)
         begin = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         end = np.repeat(np.append(begin[1:], len(w)), np.diff(np.append(begin, len(w))))
 
         def near(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
             c, m, most = (np.concatenate(x) for x in zip(*found))
             ok = np.concatenate([np.zeros(0, bool), *(changed(odd, first, c[lo : lo + PAIRS_AT_ONCE], m[lo : lo + PAIRS_AT_ONCE]) <= most[lo : lo + PAIRS_AT_ONCE] for lo in range(0, len(c), PAIRS_AT_ONCE))])
+            c, m = c[ok], m[ok]
+            ok = ~met_earlier(earlier, before, c, m) if len(c) else np.zeros(0, bool)
             return c[ok], m[ok]
 
         at, apart, found, late = np.arange(len(w)), 0, [(np.zeros(0, np.int64),) * 3], []
@@ -430,12 +455,12 @@ def _met_kind(rare: DataFrame) -> str:
 def _word_rows(rare: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows that _met takes, those of a word and two blocks together."""
     labelled = rare.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left")
-    words_of = labelled.select("text_id", F.xxhash64("text_id").alias("h"), F.xxhash64(F.coalesce("class", "text_id")).alias("label"), "size", "odd", F.arrays_zip("w", "blocks").alias("xs"))
+    words_of = labelled.select("text_id", F.xxhash64("text_id").alias("h"), F.xxhash64(F.coalesce("class", "text_id")).alias("label"), "size", "odd", "w", F.arrays_zip(F.col("w").alias("w"), "blocks").alias("xs"))
     # Dealt anew, as texts of many words may stand together.
-    words_of = words_of.repartition("text_id").select("text_id", "h", "label", "size", "odd", F.explode("xs").alias("x"))
-    words_of = words_of.select("*", "x.w", "x.blocks", F.pmod(F.xxhash64("text_id", "x.w"), F.col("x.blocks")).alias("block"))
+    words_of = words_of.repartition("text_id").select("text_id", "h", "label", "size", "odd", F.col("w").alias("all"), F.posexplode("xs").alias("nth", "x"))
+    words_of = words_of.select("*", "x.w", "x.blocks", F.pmod(F.xxhash64("text_id", "x.w"), F.col("x.blocks")).alias("block"), F.slice("all", F.greatest(F.col("nth") - (EARLIER - 1), F.lit(1)), F.least("nth", F.lit(EARLIER))).alias("earlier"))
     dealt = words_of.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("w", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "text_id", "h", "label", "size", "odd")
+    dealt = dealt.select("w", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "text_id", "h", "label", "size", "odd", "earlier")
     return dealt.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j")
 
 

@@ -172,6 +172,33 @@ def test_pairs_with_few_minima_in_common_are_linked(spark):
     assert {x["doc_id"] for x in pipeline.near_duplicates(spark, docs, "").collect()} == set(group.values())
 
 
+def test_a_pair_leaves_by_one_of_its_words(spark, monkeypatch):
+    # Ten texts that differ in a word or two have nearly all of their rarest words in common.
+    own = [f"w{i}" for i in range(300)]
+    rows = [(n, " ".join(f"x{n}" if i == 20 * n else w for i, w in enumerate(own)), n) for n in range(10)]
+    rare = near_dup._rare_words(spark.createDataFrame(rows, "id long, text string, label long"), 0.8)
+    classes = spark.createDataFrame([], "id long, class long")
+    pairs = {(a, b) for a in range(10) for b in range(a)}
+
+    def made():
+        return [(max(x["c"], x["m"]), min(x["c"], x["m"])) for x in near_dup._word_rows(rare, classes).mapInArrow(near_dup._met(0.8), near_dup._met_kind(rare)).collect()]
+
+    assert sorted(made()) == sorted(pairs)
+    for some in (0, 1, 7):
+        monkeypatch.setattr(near_dup, "EARLIER", some)
+        again = made()
+        assert set(again) == pairs and (some or len(again) > len(pairs))
+
+
+def test_rows_with_a_word_in_common(monkeypatch):
+    r = np.random.default_rng(5)
+    lists = [r.integers(-9, 9, r.integers(0, 5)).astype(np.int32) for _ in range(60)]
+    first = np.append(0, np.cumsum([len(x) for x in lists]))
+    a, b = r.integers(0, 60, 500), r.integers(0, 60, 500)
+    monkeypatch.setattr(near_dup, "WORDS_AT_ONCE", 50)
+    assert near_dup.met_earlier(np.concatenate(lists), first, a, b).tolist() == [bool(set(lists[x]) & set(lists[y])) for x, y in zip(a, b)]
+
+
 def substituted(text, share, seed):
     """The text with a share of its words, at random places, changed."""
     r = random.Random(seed)
