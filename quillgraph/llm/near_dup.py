@@ -30,6 +30,9 @@ PAIRS_AT_ONCE, WORDS_AT_ONCE = 20_000, 1_000_000
 #: Of a text's rarest words so many go with the next one, to tell pairs that have met by an earlier word. A pair that meets
 #: again after more words than these leaves again, so that rows grow with a text and not with its square.
 EARLIER = 128
+#: Rarest words of all texts that a group of words has about, the least number of groups, and words that are dealt out to
+#: groups at once. A text goes to a group in one row, however many of its words are in it.
+GROUPED, GROUPS, GROUPED_AT_ONCE = 30_000, 16, 50_000
 #: Groups of 64 buckets of words whose counts' parities are kept of a text: the least, and how often they are doubled
 #: for longer texts.
 PARITIES, DOUBLED = 8, 5
@@ -383,30 +386,80 @@ def met_earlier(words: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarr
     return out
 
 
+def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places start[k], start[k] + 1 ... of each run of n[k] places."""
+    return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all lists, where each list's begin, and their end)."""
+    return lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)))
+
+
+def _group_rows(groups: int, most: int, at_once: int):
+    """Texts come (text_id, h, label, size, odd, w, blocks); a row of each text and group that some of its words are in
+    leaves. With it go these words, the blocks i and j that each is held against in and its own, and, once for all of them,
+    the words of the text before each, `most` at most: of `earlier`, a word's are the last `back` ones up to `end`."""
+    def rows(part: pa.RecordBatch) -> pa.RecordBatch:
+        (w, first), (blocks, _) = _flat(part.column("w")), _flat(part.column("blocks"))
+        doc, nth = np.repeat(np.arange(part.num_rows), np.diff(first)), _runs(np.zeros(part.num_rows, np.int64), np.diff(first))
+        own = (mix(part.column("h").to_numpy().view(U)[doc] ^ mix(w.astype(U))) % blocks.astype(U)).astype(np.int64)
+        k, other = np.repeat(np.arange(len(w)), blocks), _runs(np.zeros(len(w), np.int64), blocks)
+        i, j = np.minimum(own[k], other), np.maximum(own[k], other)
+        g = (mix(mix(w[k].astype(U)) + (i << 32 | j).astype(U)) % U(groups)).astype(np.int64)
+        order = np.lexsort((nth[k], g, doc[k]))
+        k, i, j, g = k[order], i[order], j[order], g[order]
+        d, s = doc[k], nth[k]
+        begin = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (g[1:] != g[:-1]))[: len(k)])
+        before = np.append(0, s[:-1])[: len(k)]
+        before[begin] = 0
+        n = np.minimum(s - before, most)
+        end, last = np.cumsum(n), np.append(begin[1:], len(k)) - 1
+        ends = np.append(0, end[last]) if len(begin) else np.zeros(1, np.int64)
+        words_at = np.append(begin, len(k))
+        there = pa.array(d[begin])
+        lists = [_listed(x, words_at, pa.int32()) for x in (w[k], end - np.repeat(ends[:-1], np.diff(words_at)), np.minimum(s, most), i, j, own[k])]
+        return pa.RecordBatch.from_arrays([pa.array(g[begin], pa.int64()), *(part.column(x).take(there) for x in ("text_id", "h", "label", "size", "odd")), _listed(w[_runs(first[d] + s - n, n)], ends, pa.int32()), *lists], ["g", "text_id", "h", "label", "size", "odd", "earlier", "w", "end", "back", "i", "j", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks, first = _flat(batch.column("blocks"))
+            many = np.append(0, np.cumsum(blocks))[first[1:]]
+            cuts = [0, *(np.flatnonzero(np.diff(many // at_once)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if hi > lo:
+                    yield rows(batch.slice(lo, hi - lo))
+
+    return run
+
+
 def _met(similarity: float):
-    """Rows come word by word (w, i, j); the pairs leave, with the numbers of their classes, whose classes differ, whose sizes
-    and parities allow a link and that have none of the words before w in common, so that of all words of a pair
-    the first one lets it leave. i, j: the blocks of a word's texts that are held against each other; earlier: the last
-    EARLIER words before w in their text's order."""
+    """Rows come group by group (g), as _group_rows makes them; the pairs leave, with the numbers of their classes, that have a word
+    in common, whose classes differ, whose sizes and parities allow a link and that have none of the words before that one in
+    common, so that of all words of a pair the first one lets it leave. i, j: the blocks of a word's texts
+    that are held against each other; earlier: the last EARLIER words before a word in their text's order."""
     def pairs(rows: pa.Table) -> pa.RecordBatch:
-        w, i, j, block, h, label, size = (rows[x].to_numpy() for x in ("w", "i", "j", "block", "h", "label", "size"))
-        lists = [rows[x].combine_chunks() for x in ("odd", "earlier")]
-        (first, before), (odd, earlier) = ([np.append(0, np.cumsum(pa.compute.list_value_length(x).to_numpy())) for x in lists], (x.flatten().to_numpy() for x in lists))
-        odd = odd.view(U)
+        (w, at_row), (end, _), (back, _), (i, _), (j, _), (block, _), (earlier, early), (odd, first) = (_flat(rows[x].combine_chunks()) for x in ("w", "end", "back", "i", "j", "block", "earlier", "odd"))
+        odd, row = odd.view(U), np.repeat(np.arange(rows.num_rows), np.diff(at_row))
+        start = early[row] + end - back
+        order = np.lexsort((j, i, w))
+        w, i, j, block, start, back, row = (x[order] for x in (w, i, j, block, start, back, row))
+        h, label, size = (rows[x].to_numpy()[row] for x in ("h", "label", "size"))
         begin = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-        end = np.repeat(np.append(begin[1:], len(w)), np.diff(np.append(begin, len(w))))
+        stop = np.repeat(np.append(begin[1:], len(w)), np.diff(np.append(begin, len(w))))
 
         def near(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
             c, m, most = (np.concatenate(x) for x in zip(*found))
-            ok = np.concatenate([np.zeros(0, bool), *(changed(odd, first, c[lo : lo + PAIRS_AT_ONCE], m[lo : lo + PAIRS_AT_ONCE]) <= most[lo : lo + PAIRS_AT_ONCE] for lo in range(0, len(c), PAIRS_AT_ONCE))])
+            ok = np.concatenate([np.zeros(0, bool), *(changed(odd, first, row[c[lo : lo + PAIRS_AT_ONCE]], row[m[lo : lo + PAIRS_AT_ONCE]]) <= most[lo : lo + PAIRS_AT_ONCE] for lo in range(0, len(c), PAIRS_AT_ONCE))])
             c, m = c[ok], m[ok]
-            ok = ~met_earlier(earlier, before, c, m) if len(c) else np.zeros(0, bool)
+            used, nth = np.unique(np.concatenate((c, m)), return_inverse=True)
+            ok = ~met_earlier(earlier[_runs(start[used], back[used])], np.append(0, np.cumsum(back[used])), nth[: len(c)], nth[len(c) :]) if len(c) else np.zeros(0, bool)
             return c[ok], m[ok]
 
         at, apart, found, late = np.arange(len(w)), 0, [(np.zeros(0, np.int64),) * 3], []
         while len(at):
             apart += 1
-            at = at[at + apart < end[at]]
+            at = at[at + apart < stop[at]]
             c, m = at, at + apart
             ok = (label[c] != label[m]) & ((i[c] == j[c]) | (block[c] != block[m]))
             c, m = c[ok], m[ok]
@@ -421,20 +474,19 @@ def _met(similarity: float):
         c, m = np.where(h[c] > h[m], m, c), np.where(h[c] > h[m], c, m)
         one = np.unique(np.stack((h[c], h[m]), axis=1), axis=0, return_index=True)[1]
         c, m, ids = c[one], m[one], rows["text_id"].combine_chunks()
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(c)), ids.take(pa.array(m)), pa.array(np.minimum(label[c], label[m])), pa.array(np.maximum(label[c], label[m]))], ["c", "m", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row[c])), ids.take(pa.array(row[m])), pa.array(np.minimum(label[c], label[m])), pa.array(np.maximum(label[c], label[m]))], ["c", "m", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = rows if rest is None else pa.concat_tables([rest, rows])
-            key = np.stack([rows[x].to_numpy() for x in ("w", "i", "j")])
-            # The last word may go on in the next batch.
-            before = np.flatnonzero((key != key[:, -1:]).any(0)) if rows.num_rows else np.zeros(0, np.int64)
-            whole = int(before[-1]) + 1 if len(before) else 0
-            if whole:
-                yield pairs(rows.slice(0, whole))
-            rest = rows.slice(whole).combine_chunks()
+            g = rows["g"].to_numpy()
+            # The last group may go on in the next batch; those before it are looked at one by one.
+            cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist()]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                yield pairs(rows.slice(lo, hi - lo))
+            rest = rows.slice(cuts[-1]).combine_chunks()
         if rest is not None and rest.num_rows:
             yield pairs(rest)
 
@@ -453,15 +505,15 @@ def _met_kind(rare: DataFrame) -> str:
 
 
 def _word_rows(rare: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows that _met takes, those of a word and two blocks together."""
+    """The rows that _met takes, those of a group of words together. Groups are as many as keep each at about GROUPED words
+    of texts, so that one fits a worker and rows are never more than the rarest words of all texts."""
     labelled = rare.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left")
-    words_of = labelled.select("text_id", F.xxhash64("text_id").alias("h"), F.xxhash64(F.coalesce("class", "text_id")).alias("label"), "size", "odd", "w", F.arrays_zip(F.col("w").alias("w"), "blocks").alias("xs"))
+    texts = labelled.select("text_id", F.xxhash64("text_id").alias("h"), F.xxhash64(F.coalesce("class", "text_id")).alias("label"), "size", "odd", "w", "blocks")
+    n = rare.agg(F.sum(F.aggregate("blocks", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
+    kind = f"g long, text_id {rare.schema['text_id'].dataType.simpleString()}, h long, label long, size long, odd array<long>, earlier array<int>, w array<int>, end array<int>, back array<int>, i array<int>, j array<int>, block array<int>"
     # Dealt anew, as texts of many words may stand together.
-    words_of = words_of.repartition("text_id").select("text_id", "h", "label", "size", "odd", F.col("w").alias("all"), F.posexplode("xs").alias("nth", "x"))
-    words_of = words_of.select("*", "x.w", "x.blocks", F.pmod(F.xxhash64("text_id", "x.w"), F.col("x.blocks")).alias("block"), F.slice("all", F.greatest(F.col("nth") - (EARLIER - 1), F.lit(1)), F.least("nth", F.lit(EARLIER))).alias("earlier"))
-    dealt = words_of.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("w", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "text_id", "h", "label", "size", "odd", "earlier")
-    return dealt.repartition("w", "i", "j").sortWithinPartitions("w", "i", "j")
+    grouped = texts.repartition("text_id").mapInArrow(_group_rows(max(GROUPS, -(-n // GROUPED)), EARLIER, GROUPED_AT_ONCE), kind)
+    return grouped.repartition("g").sortWithinPartitions("g")
 
 
 def _edits(similarity: float, x: str, y: str) -> Column:

@@ -190,6 +190,41 @@ def test_a_pair_leaves_by_one_of_its_words(spark, monkeypatch):
         assert set(again) == pairs and (some or len(again) > len(pairs))
 
 
+def word_rows(spark, n, seed):
+    rows, group = pairs_beside_a_passage(n, seed)
+    rare = near_dup._rare_words(spark.createDataFrame([(i, t, i) for i, t in rows], "id long, text string, label long"), 0.8)
+    return rare, near_dup._word_rows(rare, spark.createDataFrame([], "id long, class long")), group
+
+
+def test_a_text_goes_once_to_each_group_of_words(spark):
+    # Rows are bounded by texts and by their words, so that twice the texts are not four times the rows.
+    for n in (100, 200, 400):
+        rare, rows, _ = word_rows(spark, n, 12)
+        words = sum(len(x["w"]) for x in rare.collect())
+        assert words > 25 * n and rows.count() <= min(16 * n, words)
+
+
+def test_groups_of_words_give_the_pairs_of_brute_force(spark, monkeypatch):
+    for dealt in (4000, 1):
+        monkeypatch.setattr(near_dup, "DEALT", dealt)
+        rare, _, group = word_rows(spark, 60, 13)
+        texts, want = rare.collect(), set()
+        for k, x in enumerate(texts):
+            for y in texts[:k]:
+                edits, odd = int(0.2 * max(x["size"], y["size"]) + 1e-9), [np.array(v["odd"]).view(np.uint64) for v in (x, y)]
+                differ = near_dup.changed(np.concatenate(odd), np.array([0, len(odd[0]), len(odd[0]) + len(odd[1])]), np.array([0]), np.array([1]))[0]
+                if set(x["w"]) & set(y["w"]) and differ <= 2 * edits - abs(x["size"] - y["size"]):
+                    want.add((min(x["text_id"], y["text_id"]), max(x["text_id"], y["text_id"])))
+        assert want >= {(c, i) for i, c in group.items() if c < i}
+        for grouped, earlier, at_once in ((30_000, 128, 50_000), (1, 128, 7), (300, 3, 100), (300, 0, 100)):
+            monkeypatch.setattr(near_dup, "GROUPED", grouped)
+            monkeypatch.setattr(near_dup, "EARLIER", earlier)
+            monkeypatch.setattr(near_dup, "GROUPED_AT_ONCE", at_once)
+            rows = near_dup._word_rows(rare, spark.createDataFrame([], "id long, class long"))
+            left = [(min(x["c"], x["m"]), max(x["c"], x["m"])) for x in rows.mapInArrow(near_dup._met(0.8), near_dup._met_kind(rare)).collect()]
+            assert set(left) == want and (earlier < 128 or len(left) == len(want))
+
+
 def test_rows_with_a_word_in_common(monkeypatch):
     r = np.random.default_rng(5)
     lists = [r.integers(-9, 9, r.integers(0, 5)).astype(np.int32) for _ in range(60)]
