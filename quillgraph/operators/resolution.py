@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from quillgraph.functions.text import entity_embedding_text, normalize_entity_name
 from quillgraph.operators.graph import ordered_distinct
-from quillgraph.operators.retrieval import blocked_pairs, similar_pairs
+from quillgraph.operators.retrieval import blocked_pairs, nearest_pairs
 from quillgraph.session import kept
 
 SIMILARITY, CANDIDATES = 0.92, 5
@@ -35,9 +35,12 @@ def candidate_pairs(entities: DataFrame, threshold: float = SIMILARITY, k: int =
     """(a, b, score): pairs of one type at `threshold` or more on the index scale, at most the k best of each row. All pairs
     of a type are compared, or, for large ones, those in a common block of vectors with blocked_dims dimensions."""
     own = entities.where(~F.col("type").isin(*skip_types) & F.col("embedding").isNotNull())
-    pairs = blocked_pairs(own, threshold, blocked_dims) if blocked_dims else similar_pairs(own, threshold)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    best = both.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("_n") <= k)
+    if blocked_dims:
+        pairs = blocked_pairs(own, threshold, blocked_dims)
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+        best = both.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("_n") <= k)
+    else:
+        best = nearest_pairs(own, threshold, k)
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct()
 
 

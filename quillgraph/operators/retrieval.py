@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.functions.vector import cosine, dot, index_score, literal
+from quillgraph.operators import pairs
 
 #: Score of rows that come from the graph and not from the index.
 EXPANSION_SCORE = 0.4
@@ -66,6 +67,12 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", type
     return pairs.where(F.col("score") >= threshold)
 
 
+def nearest_pairs(vectors: DataFrame, threshold: float, k: int, id_col: str = "id", type_col: str = "type", vector_col: str = "embedding", normalized: bool = True) -> DataFrame:
+    """(a, b, score): of the pairs of similar_pairs, both ways round, the k best of each a; ties go to the smaller b."""
+    near = pairs.nearest(vectors, pairs.Measure(threshold, normalized), k, id_col, type_col, vector_col)
+    return near.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("_n") <= k).drop("_n")
+
+
 def blocked_pairs(vectors: DataFrame, threshold: float, dims: int, tables: int = 12, bits: int = 6, seed: int = 7, id_col: str = "id", type_col: str = "type", vector_col: str = "embedding", normalized: bool = True) -> DataFrame:
     """similar_pairs among rows that share the signs of `bits` random projections in one of `tables` tables: work grows with
     the size of these blocks and not with the square of a type. It finds a pair at angle a with probability
