@@ -56,15 +56,10 @@ def top_k(vectors: DataFrame, query: list[float], k: int, filters: Filters = Fil
     return rows.drop(vector_col)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", type_col: str = "type", vector_col: str = "embedding", normalized: bool = True, salts: int = 16) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", type_col: str = "type", vector_col: str = "embedding", normalized: bool = True) -> DataFrame:
     """(a, b, score) for rows of one type whose score reaches `threshold`, a < b. Exact, so work grows with the square of
-    a type; a type is spread over `salts` tasks, each of which holds the other side's rows of that type."""
-    own = vectors.select(F.col(id_col).alias("a"), F.col(type_col).alias("t"), F.col(vector_col).alias("va"))
-    left = own.withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
-    right = own.select(F.col("a").alias("b"), "t", F.col("va").alias("vb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
-    cos = cosine(F.col("va"), F.col("vb"))
-    pairs = left.join(right, ["t", "_salt"]).where("a < b").select("a", "b", (index_score(cos) if normalized else cos).alias("score"))
-    return pairs.where(F.col("score") >= threshold)
+    a type; a type is dealt to blocks, each two of which meet in a group of their own."""
+    return pairs.all_pairs(vectors, pairs.Measure(threshold, normalized), id_col, type_col, vector_col)
 
 
 def nearest_pairs(vectors: DataFrame, threshold: float, k: int, id_col: str = "id", type_col: str = "type", vector_col: str = "embedding", normalized: bool = True) -> DataFrame:

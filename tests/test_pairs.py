@@ -62,3 +62,11 @@ def test_judged_pairs_are_the_candidates(spark, small_blocks):
     first = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     want = plain(df, 0.7).withColumn("n", F.row_number().over(first)).where("n <= 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     assert sorted((r["a"], r["b"]) for r in log.select("a", "b").collect()) == sorted(map(tuple, want.collect()))
+
+
+def test_all_pairs_are_those_of_the_expression(spark, small_blocks):
+    df = vectors(spark)
+    for threshold in (0.5, 0.9):
+        found = retrieval.similar_pairs(df, threshold)
+        assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()  # no pair is scored as a row
+        assert listed(found) == listed(plain(df, threshold).where("a < b"))
