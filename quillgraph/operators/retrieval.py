@@ -62,6 +62,11 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", type
     return pairs.all_pairs(vectors, pairs.Measure(threshold, normalized), id_col, type_col, vector_col)
 
 
+def similar_links(vectors: DataFrame, threshold: float, id_col: str = "id", type_col: str = "type", vector_col: str = "embedding", normalized: bool = True) -> DataFrame:
+    """(a, b) with the components of similar_pairs, without listing all of its pairs."""
+    return pairs.links(vectors, pairs.Measure(threshold, normalized), id_col, type_col, vector_col)
+
+
 def nearest_pairs(vectors: DataFrame, threshold: float, k: int, id_col: str = "id", type_col: str = "type", vector_col: str = "embedding", normalized: bool = True) -> DataFrame:
     """(a, b, score): of the pairs of similar_pairs, both ways round, the k best of each a; ties go to the smaller b."""
     near = pairs.nearest(vectors, pairs.Measure(threshold, normalized), k, id_col, type_col, vector_col)

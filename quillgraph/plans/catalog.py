@@ -81,7 +81,7 @@ p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label
 r AS (SELECT a AS id, a AS root FROM p UNION SELECT p.b AS id, r.root FROM r JOIN p ON r.id = p.a)
 SELECT id, min(root) AS root FROM r GROUP BY id""")
 def component_canonicals(spark, d):
-    return resolution.components(retrieval.similar_pairs(_vectors(spark, d), 0.68).select("a", "b"))
+    return resolution.components(retrieval.similar_links(_vectors(spark, d), 0.68))
 
 
 # ---- layout and hybrid search --------------------------------------------------------------------------------------

@@ -70,3 +70,13 @@ def test_all_pairs_are_those_of_the_expression(spark, small_blocks):
         found = retrieval.similar_pairs(df, threshold)
         assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()  # no pair is scored as a row
         assert listed(found) == listed(plain(df, threshold).where("a < b"))
+
+
+def test_links_hang_together_as_the_pairs_do(spark, small_blocks):
+    df = vectors(spark)
+    for threshold in (0.7, 0.95):
+        want = resolution.components(plain(df, threshold).select("a", "b"))
+        assert sorted(map(tuple, resolution.components(retrieval.similar_links(df, threshold)).collect())) == sorted(map(tuple, want.collect()))
+    copies = spark.createDataFrame([(i, "t", [1.0, 2.0]) for i in range(200)], "id long, type string, embedding array<float>")
+    found = retrieval.similar_links(copies, 0.9)
+    assert found.count() <= 200 * 6 and {r["root"] for r in resolution.components(found).collect()} == {0}
