@@ -97,24 +97,27 @@ def _is_table(text: str) -> bool:
 
 def chunk_sections(rows: list[dict], o: ChunkOptions) -> Iterator[dict]:
     """Chunks of one document's sections, in order. Headings open a level and give no chunk of their own; chunks don't
-    cross sections, but for a tail below the minimum that moves into the next; tables stand alone."""
+    cross sections, but for a tail below the minimum that moves into the next; tables stand alone. A section that lists its
+    paragraphs instead of a content keeps each whole and as it is, also one above the target or with blank lines."""
     path: list[tuple[int, str]] = []
     out: list[dict] = []
     carry: str = ""
     carried: list[int] = []
     for n, row in enumerate(rows):
-        text = (row["content"] or "").strip()
+        listed = row.get("paragraphs")
+        listed = None if listed is None else [p for p in listed if p is not None]
+        text = (row["content"] or "").strip() if listed is None else "\n\n".join(listed)
         if row["heading"]:
             level = row["heading_level"] or 1
             path = [(lv, h) for lv, h in path if lv < level] + [(level, row["heading"])]
         here = [] if row["page_number"] is None else [int(row["page_number"])]
         parts = [(carry, carried), (text, here)]
         text, carry, carried = "\n\n".join(x for x, _ in parts if x), "", []
-        if not text:
+        if not text and not listed:
             continue
         made: list[list[str]] = []
         pages: list[set[int]] = []
-        if _is_table(text):
+        if listed is None and _is_table(text):
             made, kind, pages = [[text]], "table", [{p for x, on in parts if x for p in on}]
             if _tokens(text) > o.maximum:
                 log.warning("a table of %d tokens is one chunk, above the maximum of %d", _tokens(text), o.maximum)
@@ -122,7 +125,9 @@ def chunk_sections(rows: list[dict], o: ChunkOptions) -> Iterator[dict]:
             kind = "text"
             budget = max(1, o.target - o.overlap)
             used = 0
-            for piece, on in ((q, on) for x, on in parts for p in re.split(r"\n\s*\n", x) if p.strip() for q in _pieces(p.strip(), budget)):
+            split = lambda x: (q for p in re.split(r"\n\s*\n", x) if p.strip() for q in _pieces(p.strip(), budget))
+            pieces = [(q, on) for x, on in (parts if listed is None else parts[:1]) for q in split(x)] + [(p, here) for p in listed or ()]
+            for piece, on in pieces:
                 if not made or used + _tokens(piece) > budget:
                     made.append([])
                     pages.append(set())
@@ -149,8 +154,9 @@ def chunk_sections(rows: list[dict], o: ChunkOptions) -> Iterator[dict]:
 
 
 def chunk_documents(sections: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
-    """Chunks (schemas.CHUNKS) of sections (schemas.SECTIONS). Packing goes on within a document only, so documents are
-    dealt out by id and one at a time is in memory; ids are hashes of document, place and content."""
+    """Chunks (schemas.CHUNKS) of sections (schemas.SECTIONS, with or without an array column paragraphs, see chunk_sections).
+    Packing goes on within a document only, so documents are dealt out by id and one at a time is in memory; ids are hashes
+    of document, place and content."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         doc = str(pdf["doc_id"].iloc[0])

@@ -393,3 +393,24 @@ def test_questions(spark):
     for bad in ({"hops": 5}, {"paragraph_top_k": 51}, {"window": 6}):
         with pytest.raises(ValueError):
             answers.Request(**bad)
+
+
+def test_listed_paragraphs_stay_whole():
+    row = {"content": None, "heading": None, "heading_level": 0, "page_number": None}
+    long = "word " * 30 + "\n\n" + "end. " * 30
+    out = list(chunk_sections([row | {"paragraphs": [" a\tb\n\nc ", long, "d", "e"]}], ChunkOptions(20, 0)))
+    assert [c["content"] for c in out] == [" a\tb\n\nc ", long, "d\n\ne"]
+    assert list(chunk_sections([row | {"paragraphs": []}], ChunkOptions(20, 0))) == []
+
+
+def test_long_turns_are_chunks_as_in_their_sql(spark, tmp_path):
+    import duckdb
+    from quillgraph.plans import catalog, catalog_rows  # noqa: F401
+
+    turns = [(1, t, "user", x) for t, x in enumerate(["short", "long words " * 300, "a\n\nb", "x" * 1990, "last"])] + [(2, 0, "user", "y " * 2500), (3, 0, "user", "one"), (3, 2, "user", "after a gap"), (4, 1, "user", "no first")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = catalog.QUERIES["chunk_packs_paragraphs"](spark, str(tmp_path)).collect()
+    want = duck.execute(catalog.ORACLES["chunk_packs_paragraphs"]).fetchall()
+    assert sorted(map(tuple, found)) == sorted(want) and len(want) > 3
