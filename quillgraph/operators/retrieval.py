@@ -6,6 +6,7 @@ Anchors are small by contract (at most 100) and are broadcast only where a limit
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,10 +15,13 @@ from pyspark.sql.window import Window
 
 from quillgraph.functions.vector import cosine, dot, index_score, literal
 from quillgraph.operators import pairs
+from quillgraph.session import kept
 
 #: Score of rows that come from the graph and not from the index.
 EXPANSION_SCORE = 0.4
 MAX_HOPS = 4
+#: Rows that are broadcast; more are joined by a shuffle.
+FEW = 100_000
 
 
 @dataclass(frozen=True)
@@ -104,16 +108,22 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return own.select("edge_id", "kind", "_w.src", "_w.dst", "s", "t")
 
 
-def trails(anchors: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+def _few(rows: DataFrame) -> DataFrame:
+    """The distinct rows, computed once, and broadcast if they are few, so that what they meet isn't shuffled."""
+    rows = kept(rows.distinct())
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
+
+def trails(anchors: DataFrame, edges: DataFrame, hops: int, front_of: Callable[[DataFrame], DataFrame] = lambda front: front) -> DataFrame:
     """(anchor, node, path) for every undirected trail of 1 to `hops` edges: edges once, nodes as often as they come.
 
-    hops is clamped to 1..4. Each hop is a join of the frontier to the symmetric edges on the node."""
+    hops is clamped to 1..4. Each hop is a join of the frontier, as front_of gives it, to the symmetric edges on the node."""
     hops = max(1, min(MAX_HOPS, hops))
     step = both_ways(edges).select(F.col("src").alias("_at"), F.col("dst").alias("_to"), F.struct("edge_id", "kind", "s", "t").alias("_e"))
     front = anchors.select(F.col("id").alias("anchor"), F.col("id").alias("node"), F.array().cast(f"array<{step.schema['_e'].dataType.simpleString()}>").alias("path"))
     found = None
     for _ in range(hops):
-        front = front.join(step, F.col("node") == F.col("_at")).where(~F.exists("path", lambda x: x["edge_id"] == F.col("_e.edge_id")))
+        front = front_of(front).join(step, F.col("node") == F.col("_at")).where(~F.exists("path", lambda x: x["edge_id"] == F.col("_e.edge_id")))
         front = front.select("anchor", F.col("_to").alias("node"), F.concat("path", F.array("_e")).alias("path"))
         found = front if found is None else found.unionByName(front)
     return found
@@ -130,13 +140,16 @@ def semantic_expand(anchors: DataFrame, edges: DataFrame, hops: int = 2) -> tupl
 def cross_expand(anchors: DataFrame, mentions: DataFrame, edges: DataFrame, paragraphs: DataFrame, hops: int = 2, limit: int = 5) -> DataFrame:
     """From anchor paragraphs over the entities they mention to neighbours, and from these to their paragraphs: for each
     anchor and neighbour the first `limit` by place, each paragraph once. The starting entity is no neighbour of itself,
-    nor the anchor a result of its own. Repeated mentions count once before the limit."""
-    m = mentions.select(F.col("entity_id").alias("_e"), F.col("paragraph_id").alias("_p")).distinct()
-    start = anchors.select(F.col("id").alias("_a")).join(m, F.col("_a") == F.col("_p")).select("_a", F.col("_e").alias("_from"))
-    reach = trails(start.select(F.col("_from").alias("id")).distinct(), edges, hops).where("anchor <> node").select(F.col("anchor").alias("_from"), "node").distinct()
-    near = start.join(reach, "_from").select("_a", "node").distinct()
+    nor the anchor a result of its own. Repeated mentions count once before the limit, and repeated edges as one.
+
+    Each step goes from the rows reached so far, which are computed at once, to the tables, so that these are shuffled only
+    where more than FEW rows meet them; the paragraphs are, by id and place."""
+    m = mentions.select(F.col("entity_id").alias("_e"), F.col("paragraph_id").alias("_p"))
+    start = _few(_few(anchors.select(F.col("id").alias("_a"))).join(m, F.col("_a") == F.col("_p")).select("_a", F.col("_e").alias("_from")))
+    reach = trails(start.select(F.col("_from").alias("id")), edges, hops, _few).where("anchor <> node").select(F.col("anchor").alias("_from"), "node").distinct()
+    near = _few(start.join(reach, "_from").select("_a", "node"))
     place = paragraphs.select(F.col("id").alias("_p"), F.col("sequence_index").alias("_s"))
-    hit = near.join(m, F.col("node") == F.col("_e")).where("_p <> _a").join(place, "_p")
+    hit = m.join(near, F.col("node") == F.col("_e")).where("_p <> _a").select("_a", "node", "_p").distinct().join(place, "_p")
     first = Window.partitionBy("_a", "node").orderBy("_s", "_p")
     return hit.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).select(F.col("_p").alias("id")).distinct()
 

@@ -159,10 +159,12 @@ def pack_context_budget(spark, d):
 # ---- graph expansion -----------------------------------------------------------------------------------------------
 
 
-def _edges(spark, d) -> DataFrame:
-    """edge_id, kind, src, dst: customers and suppliers in nations, nations in regions, suppliers of parts."""
+def _edges(spark, d, once: bool = True) -> DataFrame:
+    """edge_id, kind, src, dst: customers and suppliers in nations, nations in regions, suppliers of parts, these once or as
+    often as they come."""
     one = lambda table, kind, a, x, b, y: _t(spark, d, table).select(F.lit(kind).alias("kind"), F.concat(F.lit(a), F.col(x)).alias("src"), F.concat(F.lit(b), F.col(y)).alias("dst"))
-    out = one("customer", "LOCATED_IN", "c", "c_custkey", "n", "c_nationkey").unionByName(one("supplier", "LOCATED_IN", "s", "s_suppkey", "n", "s_nationkey")).unionByName(one("nation", "PART_OF", "n", "n_nationkey", "r", "n_regionkey")).unionByName(one("lineitem", "SUPPLIES", "s", "l_suppkey", "p", "l_partkey").distinct())
+    parts = one("lineitem", "SUPPLIES", "s", "l_suppkey", "p", "l_partkey")
+    out = one("customer", "LOCATED_IN", "c", "c_custkey", "n", "c_nationkey").unionByName(one("supplier", "LOCATED_IN", "s", "s_suppkey", "n", "s_nationkey")).unionByName(one("nation", "PART_OF", "n", "n_nationkey", "r", "n_regionkey")).unionByName(parts.distinct() if once else parts)
     return out.withColumn("edge_id", F.concat("src", F.lit(">"), "dst"))
 
 
@@ -198,7 +200,7 @@ def cross_expand_top5(spark, d):
     orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("sequence_index"), "o_totalprice")
     anchors = orders.orderBy(F.desc("o_totalprice"), "id").limit(3)
     mentions = _t(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("entity_id"), F.col("l_orderkey").alias("paragraph_id"))
-    return retrieval.cross_expand(anchors, mentions, _edges(spark, d).where("kind = 'SUPPLIES'"), orders, hops=2, limit=5)
+    return retrieval.cross_expand(anchors, mentions, _edges(spark, d, once=False).where("kind = 'SUPPLIES'"), orders, hops=2, limit=5)
 
 
 @query("SELECT l_orderkey AS paragraph_id, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS entities FROM (SELECT DISTINCT l_orderkey, l_partkey AS p FROM lineitem) GROUP BY l_orderkey")

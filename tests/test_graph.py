@@ -182,3 +182,15 @@ def test_blocks_find_most_similar_pairs(spark):
     pairs = lambda d: {(x["a"], x["b"]) for x in d.collect()}
     want, found = pairs(retrieval.similar_pairs(df, 0.92)), pairs(retrieval.blocked_pairs(df, 0.92, 8))
     assert found <= want and len(found) >= 0.9 * len(want) >= 30
+
+
+def test_cross_expand_shuffles_no_mentions_or_edges(spark, monkeypatch):
+    mentions = spark.createDataFrame([("e", "p0")] + [("f", f"p{i}") for i in range(1, 9)] * 2 + [("e", "p20"), ("g", "p0"), ("g", "p9")], "entity_id string, paragraph_id string")
+    paragraphs = spark.createDataFrame([(f"p{i}", i) for i in range(30)], "id string, sequence_index int")
+    twice = edges(spark, ("e", "R", "f"), ("e", "R", "f"), ("f", "S", "g"))
+    find = lambda: retrieval.cross_expand(ids(spark, "p0"), mentions, twice, paragraphs, hops=2)
+    few = find()
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "edge_id" not in plan
+    monkeypatch.setattr(retrieval, "FEW", 0)
+    assert got(few) == got(find()) == ["p1", "p2", "p20", "p3", "p4", "p5", "p9"]
